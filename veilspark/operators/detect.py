@@ -20,11 +20,11 @@ from ..policy import SEVERITIES, Policy
 from ..rules import dialect, keywords, providers, tuned
 from ..rules.table import Rule, rules_for
 
-BOM = "﻿"
+BOM = "\ufeff"
 # characters whose simple case folding leaves ASCII: long s and the Kelvin sign
-FOLDS_TO_ASCII = ("ſ", "K")
+FOLDS_TO_ASCII = ("\u017f", "\u212a")
 # characters whose lower-case form is ASCII although they are not
-LOWERS_TO_ASCII = ("K", "İ")
+LOWERS_TO_ASCII = ("\u212a", "\u0130")
 
 _TEXT, _LOWER, _PATH = "__text", "__lower", "__path"
 _ODD, _WIDE, _ENV, _CODE = "__odd_case", "__non_ascii", "__env_path", "__code_path"

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection",)
+MODULES = ("detection", "audit", "scanning")
 
 
 def registry():

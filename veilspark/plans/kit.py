@@ -47,8 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run shared SQL over the given tables; ``{table}`` names a table."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used) if used else spark.sql(sql)
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", f"parquet.`{sf_dir}/{t}.parquet`")
+    return spark.sql(sql)
 
 
 def for_oracle(sql: str) -> str:
