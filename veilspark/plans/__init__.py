@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection", "audit", "scanning", "masking", "pseudonymization")
+MODULES = ("detection", "audit", "scanning", "masking", "pseudonymization", "guarding", "configuration")
 
 
 def registry():
