@@ -304,8 +304,8 @@ def action_text(action: Column) -> Column:
 
 
 def listed(action: Column, patterns) -> Column:
-    """Whether any allow or deny pattern covers an action, as one regex test."""
-    return _any_wildcard(action_text(action), [action_pattern(p) for p in patterns])
+    """Whether any allow or deny pattern covers an action (in ``action_text`` form), as one regex test."""
+    return _any_wildcard(action, [action_pattern(p) for p in patterns])
 
 
 def join_policy(actions: DataFrame, patterns: DataFrame, *, action: str = "action", kept: bool = True) -> DataFrame:
@@ -332,22 +332,27 @@ def verdicts(events: DataFrame, policy: Policy = Policy(), payload: str = "paylo
     profile = policy.guard_profile if policy.guard_profile in PROFILES else "recommended"
     rows = extract(events, payload)
     verb = F.when(F.col("access") == "write", "Write").otherwise("Read")
-    verdict = lambda cat, act: F.struct(cat.alias("category"), act.alias("action"))
+    named = policy.guard_allow or policy.guard_deny
+
+    def verdict(action: Column, builtin: Column) -> Column:
+        def decide(text: Column) -> Column:
+            return F.when(listed(text, policy.guard_allow), None).when(listed(text, policy.guard_deny), CUSTOM).otherwise(
+                builtin)
+
+        decided = let(action_text(action), decide) if named else builtin
+        return F.struct(decided.alias("category"), action.alias("action"))
 
     def of_path(p: Column) -> Column:
         action = F.concat(verb, F.lit("("), p, F.lit(")"))
         builtin = F.when(is_always_secret_path(p) | ((F.col("access") == "read") & is_secret_path(p)), SECRET_FILE)
-        return let(action, lambda a: verdict(
-            F.when(listed(a, policy.guard_allow), None).when(listed(a, policy.guard_deny), CUSTOM).otherwise(builtin), a))
+        return verdict(action, builtin)
 
     def of_segment(s: Column) -> Column:
-        action = F.concat(F.lit("Bash("), s, F.lit(")"))
-        return let(action, lambda a: verdict(
-            F.when(listed(a, policy.guard_allow), None).when(listed(a, policy.guard_deny), CUSTOM)
-            .otherwise(category(s, profile)), a))
+        return verdict(F.concat(F.lit("Bash("), s, F.lit(")")), category(s, profile))
 
     every = F.flatten(F.transform(F.col("commands"), segments))
     judged = F.concat(F.transform(F.col("paths"), of_path), F.transform(every, of_segment))
-    first = F.get(F.filter(judged, lambda v: v["category"].isNotNull()), F.lit(0))
-    return rows.select(*events.columns, first.alias("__v")).select(
+    # the outer explode keeps a later filter from being copied below the classification
+    first = F.slice(F.filter(judged, lambda v: v["category"].isNotNull()), 1, 1)
+    return rows.select(*events.columns, F.explode_outer(first).alias("__v")).select(
         *events.columns, F.col("__v.category").alias("category"), F.col("__v.action").alias("action"))

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("detection", "audit", "scanning", "masking", "pseudonymization", "guarding", "configuration")
+MODULES = (
+    "detection", "audit", "scanning", "masking", "pseudonymization", "guarding", "configuration", "scalars", "filing", "streams",
+)
 
 
 def registry():

@@ -107,10 +107,7 @@ found AS (SELECT doc_id, path, text{extra}, m[i] AS value, g[i] AS gap, m[i-1] |
 
 
 LINE_SQL = "cast(1 + length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) AS INT)"
-COLUMN_SQL = (
-    "cast(CASE WHEN position(chr(10) in substr(text, 1, start)) = 0 THEN start + 1 "
-    "ELSE position(chr(10) in reverse(substr(text, 1, start))) END AS INT)"
-)
+COLUMN_SQL = "cast(length(string_split(substr(text, 1, start), chr(10))[-1]) + 1 AS INT)"
 ENV_PATH_SQL = (
     "((split_part(path, '/', -1) LIKE '.env%' OR path LIKE '%.env') AND path NOT LIKE '%.env.example' "
     "AND path NOT LIKE '%.env.sample')"

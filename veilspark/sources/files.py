@@ -109,6 +109,14 @@ def notices(classified: DataFrame) -> DataFrame:
     )
 
 
+NOT_INSPECTED = ("scan.file_too_large", "scan.file_read_error", "scan.binary_skipped", "scan.walk_error")
+
+
+def not_inspected(noticed: DataFrame) -> DataFrame:
+    """Whether some file was skipped, which voids a check for leftovers."""
+    return noticed.agg(F.coalesce(F.bool_or(F.col("rule_id").isin(*NOT_INSPECTED)), F.lit(False)).alias("not_inspected"))
+
+
 def with_tracked(walked: DataFrame, tracked: DataFrame) -> DataFrame:
     """Add tracked files that ignore rules hid, none of them twice."""
     return walked.unionByName(tracked).dropDuplicates(["identity"])
