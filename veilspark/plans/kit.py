@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.hashing import HASH_PREFIX, hmac_pads
+from ..session import spread
 from .samples import quote
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run shared SQL over the given tables; ``{table}`` names a table."""
+    costly = any("{" + t + "}" in sql for t in ("documents", "orders", "events"))
     for t in TABLES:
         sql = sql.replace("{" + t + "}", f"parquet.`{sf_dir}/{t}.parquet`")
-    return spark.sql(sql)
+    out = spark.sql(sql)
+    return spread(out) if costly else out
 
 
 def for_oracle(sql: str) -> str:

@@ -15,6 +15,8 @@ is compared on ASCII input.
 from __future__ import annotations
 
 import re
+from re import _constants as c
+from re import _parser as parser
 
 ASCII_WORD = "0-9A-Za-z_"
 _WORD = f"[{ASCII_WORD}]"
@@ -25,7 +27,7 @@ _JAVA_MARKS = {
     "⌊": f"(?<!{_WORD})",
     "⌋": f"(?!{_WORD})",
     "¦": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
-    "⟨": rf"(?:(?<!{_WORD})(?=[0-9])|(?<!{_OTHER_WORD})(?![0-9]))",
+    "⟨": rf"(?=\p{{Nd}})(?:(?=[0-9])(?<!{_WORD})|(?![0-9])(?<!{_OTHER_WORD}))",
     "⟩": rf"(?:(?<=[0-9])(?!{_WORD})|(?<![0-9])(?!{_OTHER_WORD}))",
 }
 _MARKS = "⌊⌋¦⟨⟩"
@@ -54,11 +56,62 @@ def _walk(pattern: str):
         i += 1
 
 
+def _first(tree, ignore_case: bool) -> set[str] | None:
+    """Characters a parsed pattern can start with; None when that is not a short list."""
+    for op, arg in tree:
+        if op is c.LITERAL:
+            return {chr(arg)}
+        if op is c.IN:
+            out = set()
+            for kind, value in arg:
+                if kind is c.LITERAL:
+                    out.add(chr(value))
+                elif kind is c.RANGE and value[1] - value[0] < 64:
+                    out.update(map(chr, range(value[0], value[1] + 1)))
+                else:
+                    return None
+            return out
+        if op is c.SUBPATTERN:
+            return None if arg[1] or arg[2] else _first(arg[3], ignore_case)
+        if op is c.BRANCH:
+            parts = [_first(branch, ignore_case) for branch in arg[1]]
+            return None if None in parts else set().union(*parts)
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
+            return _first(arg[2], ignore_case)
+        return None
+    return None
+
+
+def first_class(pattern: str) -> str:
+    """Look-ahead for the first character of a pattern that starts with a boundary.
+
+    Checked before the boundary it rules out nearly every position cheaply.
+    """
+    body = re.sub(r"\A(?:\(\?m?i?m?\))*", "", pattern)
+    if not body.startswith("⌊") or re.search(r"\(\?-?i", body) and not re.match(r"⌊[0-9A-Za-z]", body):
+        return ""
+    ignore_case = pattern.startswith("(?i)")
+    plain = re.sub(r"[⌊⌋¦⟨⟩]", "", body).replace(r"\x{80}-\x{10FFFF}", "").replace(r"\z", r"\Z")
+    plain = re.sub(r"\(\?i\)", "", plain)
+    try:
+        chars = _first(parser.parse(plain), ignore_case)
+    except re.error:
+        return ""
+    if not chars or len(chars) > 40 or not all(x.isascii() and x.isalnum() for x in chars):
+        return ""
+    if ignore_case:
+        # the enclosing (?iu) folds the class as well
+        chars = {x.lower() for x in chars}
+    return "(?=[" + "".join(sorted(chars)) + "])"
+
+
 def to_java(pattern: str) -> str:
     out = []
+    ahead = first_class(pattern)
     for tok, inside in _walk(pattern):
         if tok in _JAVA_MARKS:
-            out.append(_JAVA_MARKS[tok])
+            out.append((ahead if tok == "⌊" else "") + _JAVA_MARKS[tok])
+            ahead = "" if tok == "⌊" else ahead
         elif tok == r"\d":
             out.append(r"\p{Nd}")
         elif tok == r"\s":

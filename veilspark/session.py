@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int | None = None, app: str = "veilspark") -> SparkSession:
@@ -20,3 +20,13 @@ def local_session(cpus: str | int | None = None, app: str = "veilspark") -> Spar
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on input that has few splits.
+
+    Input with at least as many splits as cores, which is any large table, is
+    returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
