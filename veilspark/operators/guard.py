@@ -93,15 +93,19 @@ def _any_wildcard(text: Column, patterns) -> Column:
 # -- extraction ---------------------------------------------------------------------------
 
 
-def _strings(payload: Column, keys) -> Column:
-    """Strings (or string arrays) under the keys, in the payload and its argument containers."""
+def _strings(payload: Column, keys, joined: bool = True) -> Column:
+    """Strings under the keys, in the payload and its argument containers.
+
+    An array of strings counts by its items and, when ``joined``, as one command line.
+    """
     out = []
     for container in CONTAINERS:
         for key in keys:
             at = f"{container}.{key}"
             kind = F.schema_of_variant(F.try_variant_get(payload, at, "variant"))
             out.append(F.when(kind == "STRING", F.array(F.try_variant_get(payload, at, "string"))).when(
-                kind.startswith("ARRAY"), F.try_variant_get(payload, at, "array<string>")))
+                kind.startswith("ARRAY"), let(F.try_variant_get(payload, at, "array<string>"), lambda a: (
+                    F.concat(F.array(F.array_join(a, " ")), a) if joined else a))))
     return F.flatten(F.filter(F.array(*out), lambda a: a.isNotNull()))
 
 
@@ -120,7 +124,7 @@ def extract(events: DataFrame, payload: str = "payload") -> DataFrame:
 
 def payload_text(payload: Column, keys=TEXT_KEYS, separator: str = "\n") -> Column:
     """Scannable strings of a payload, joined."""
-    return F.array_join(F.array_distinct(_strings(F.try_parse_json(payload), keys)), separator)
+    return F.array_join(F.array_distinct(_strings(F.try_parse_json(payload), keys, joined=False)), separator)
 
 
 # -- shell text -----------------------------------------------------------------------------

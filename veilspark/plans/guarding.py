@@ -82,7 +82,7 @@ def grd_profile(spark, sf_dir):
 
 
 @REGISTRY.add("grd_extract", f"""WITH p AS ({for_oracle(PAYLOADS)}) SELECT event_id,
-CASE event_id % 4 WHEN 0 THEN json_extract_string(payload, '$.tool_input.command') WHEN 1 THEN json_extract_string(payload, '$.command') || '|x|y' ELSE '' END AS commands,
+CASE event_id % 4 WHEN 0 THEN json_extract_string(payload, '$.tool_input.command') WHEN 1 THEN array_to_string(list_sort([json_extract_string(payload, '$.command'), 'x y', 'x', 'y']), '|') ELSE '' END AS commands,
 CASE event_id % 4 WHEN 2 THEN json_extract_string(payload, '$.tool_input.file_path') ELSE '' END AS paths
 FROM p WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, '', '' FROM p WHERE event_id % 4 = 3""")
 def grd_extract(spark, sf_dir):

@@ -33,7 +33,11 @@ def read_delimited(spark: SparkSession, path: str, *, header: bool = True, colum
     if columns:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     out = reader.csv(path)
-    return out if header or columns else out.toDF(*(str(i) for i in range(len(out.columns))))
+    if columns:
+        return out
+    # the reader gives null for an empty field; without ragged rows that is the only source of nulls
+    out = out.na.fill("")
+    return out if header else out.toDF(*(str(i) for i in range(len(out.columns))))
 
 
 def write_delimited(df: DataFrame, path: str, *, header: bool = True, sep: str = ",", mode: str = "overwrite") -> None:
