@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 HASH_PREFIX = "sha256-hmac:"
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 _HEX_BITS = {f"{i:x}": f"{i:04b}" for i in range(16)}
@@ -113,4 +115,5 @@ def token(material: KeyMaterial, kind: str, normalized: Column, bits: int = 64)
     check_token_bits(bits)
     inner, outer = hmac_pads(material.kind_key(kind))
     digest = hmac_hex(F.lit(inner), F.lit(outer), normalized)
-    return F.concat(F.lit(token_prefix(kind) + "_"), base32_of_hex(digest, bits))
+    # bound once: the base32 form reads the digest several times
+    return F.concat(F.lit(token_prefix(kind) + "_"), let(digest, lambda d: base32_of_hex(d, bits)))

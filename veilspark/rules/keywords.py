@@ -18,11 +18,11 @@ DIRECT = ("s.", "sk", "ey")
 #
 # run    a stretch without blanks, as long as the shortest self-describing token
 # label  an assignment operator with a value right behind it
-# cjk    Han, kana or the Japanese postal mark
+# cjk    the code range of Japanese labels (kana, Han, the postal mark)
 GATES = {
     "run": r"[0-9A-Za-z_\-.+/=~%\\:|@?\x{80}-\x{10FFFF}]{18}",
     "label": r"[=>:|,][\x60'\"\s\x{85}\p{Z}=]{0,5}[0-9A-Za-z_\-.+/=%:\x{80}-\x{10FFFF}]{14}",
-    "cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}〒]",
+    "cjk": r"[\x{3000}-\x{9FFF}]",
 }
 
 

@@ -141,7 +141,7 @@ RULES = [
     Tuned("pii.en.name", "info", PII,
           r"⌊(?i:name|full name|author|by)[ \t]*[:#][ \t]*[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3}⌋",
           "English personal name label detected", 0.45,
-          shape=r"(?i:name|author|by)[ \t]*[:#]"),
+          shape=r"[:#][ \t]*[A-Z][a-z]+[ \t]+[A-Z][a-z]"),
     Tuned("pii.en.address", "info", PII,
           r"⌊(?i:address|street address|mailing address)[ \t]*[:#][ \t]*\d{1,6}[ \t]+[A-Z][A-Za-z0-9.'-]*"
           r"(?:[ \t]+[A-Z][A-Za-z0-9.'-]*){0,5}[ \t]+"
