@@ -18,7 +18,7 @@ COMMANDS = [
     ("export -p", "environment_dump"), ("sudo reboot", "privilege_system_change"), ("chmod 777 run.sh", "privilege_system_change"),
     ("chmod a+rwx x", "privilege_system_change"), ("chmod 644 x", None), ("curl https://x.test", "external_transfer"),
     ("brew install jq", "system_install"), ("/usr/bin/psql -c drop", "direct_db_mutation"), ("psql -c select", None),
-    ("python3 -c 'print(os.environ)'", "environment_dump"), ("git add .env", None), ("git show HEAD:.env", "secret_dump_command"),
+    ("python3 -c 'print os.environ'", "environment_dump"), ("git add .env", None), ("git show HEAD:.env", "secret_dump_command"),
     ("paste .env.local", "secret_dump_command"), ("grep x < secrets/key.pem", "secret_dump_command"),
     ("tail ~/.zsh_history", "secret_dump_command"), ("node -e 1", None), ("declare -x", "environment_dump"), ("echo done", None),
 ]
