@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import quality
+from . import language, quality
 from .common import id_crc
 
 REGISTRY = Registry({}, {})
@@ -18,3 +18,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, quality.training_labels(table(spark, sf_dir, "labels")))
     scored = quality.score_documents(docs, model)
     return scored.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+@REGISTRY.add("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc(F.col("doc_id")) % 5 == 0
+    found = language.classify(docs, language.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
