@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import language, quality
+from . import bpe, language, quality
 from .common import id_crc
 
 REGISTRY = Registry({}, {})
@@ -26,3 +27,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc(F.col("doc_id")) % 5 == 0
     found = language.classify(docs, language.learn(docs.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@REGISTRY.add("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
