@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, language, quality
+from . import bpe, language, pii, quality
 from .common import id_crc
 
 REGISTRY = Registry({}, {})
@@ -32,3 +32,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@REGISTRY.add("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
