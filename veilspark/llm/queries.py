@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, language, pii, quality
+from . import bpe, language, licenses, pii, quality
 from .common import id_crc
 
 REGISTRY = Registry({}, {})
@@ -38,3 +38,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.report(docs, pii.fit(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+
+
+@REGISTRY.add("op2_licenses")
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
