@@ -27,20 +27,26 @@ def gram_hash(words: str, k: int, form: int) -> str:
     )
 
 
-def template_grams(templates: DataFrame, form: int, k: int, words: str = "words") -> DataFrame:
-    """h, form, k, template, at, gram for each k-gram of the templates that are matched with this k."""
+def template_grams(templates: DataFrame, form: int, k: int, words: str = "words", beside: str = "words") -> DataFrame:
+    """h, form, k, template, at, gram and mine for each k-gram of the templates that are matched with this k.
+
+    ``mine`` is the same slice of ``beside``, an array as long as the words.
+    """
+    parts = f"named_struct('h', h, 'gram', slice({words}, i + 1, {k}), 'mine', slice({beside}, i + 1, {k}))"
     return templates.select(
-        "template", F.posexplode(F.expr(f"transform({gram_hash(words, k, form)}, (h, i) -> named_struct('h', h, 'gram', slice({words}, i + 1, {k})))")).alias("at", "g")
-    ).select(F.col("g.h").alias("h"), F.lit(form).alias("form"), F.lit(k).alias("k"), "template", "at", F.col("g.gram").alias("gram"))
+        "template", F.posexplode(F.expr(f"transform({gram_hash(words, k, form)}, (h, i) -> {parts})")).alias("at", "g")
+    ).select(F.col("g.h").alias("h"), F.lit(form).alias("form"), F.lit(k).alias("k"), "template", "at", "g.gram", "g.mine")
 
 
-def hits(docs: DataFrame, grams: DataFrame, wanted: list[tuple[str, int, int]], extra: dict[str, str] | None = None) -> DataFrame:
+def hits(docs: DataFrame, grams: DataFrame, wanted: list[tuple[str, int, int]], extra: dict[str, str] | None = None,
+         carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of (uid, doc_id, n_words, template, form, k, pos, at) for every k-gram of a document that a template has.
 
     ``docs`` has doc_id and the word arrays; ``wanted`` lists (array column, form, k). Every document also has one
-    row with template null. ``extra`` are expressions over the arrays and ``pos``, computed for hits only.
+    row with template null. ``extra`` are expressions over the arrays, those in ``carry``, ``pos``, ``fk`` and ``mine``,
+    computed for hits only.
     """
-    arrays = list(dict.fromkeys(a for a, *_ in wanted))
+    arrays = [*dict.fromkeys(a for a, *_ in wanted), *carry]
     sizes = [f"greatest(size({a}) - {k - 1}, 0)" for a, _, k in wanted]
     hashed = docs.withColumn("uid", F.monotonically_increasing_id()).select(
         "uid", "doc_id", *arrays, F.expr(f"concat(array(0L), {', '.join(gram_hash(a, k, f) for a, f, k in wanted)})").alias("hs")
@@ -54,8 +60,8 @@ def hits(docs: DataFrame, grams: DataFrame, wanted: list[tuple[str, int, int]],
     for low, high, (_, f, k) in zip(starts, starts[1:], wanted, strict=False):
         form += f" WHEN e < {high} THEN {f * 1000 + k}"
         place += f" WHEN e < {high} THEN e - ({low})"
-    marker = "SELECT 0L AS h, -1 AS fk, CAST(NULL AS bigint) AS template, 0 AS at, CAST(NULL AS array<string>) AS gram"
-    keyed = grams.select("h", (F.col("form") * 1000 + F.col("k")).alias("fk"), F.col("template").cast("bigint"), "at", "gram")
+    marker = "SELECT 0L AS h, -1 AS fk, CAST(NULL AS bigint) AS template, 0 AS at, CAST(NULL AS array<string>) AS gram, CAST(NULL AS array<string>) AS mine"
+    keyed = grams.select("h", (F.col("form") * 1000 + F.col("k")).alias("fk"), F.col("template").cast("bigint"), "at", "gram", "mine")
     side = keyed.unionByName(docs.sparkSession.sql(marker))
     parts = -(-plan_bytes(side) // BROADCAST_BYTES)
     placed = rows.withColumns({"fk": F.expr(f"{form} END"), "pos": F.expr(f"{place} END")})

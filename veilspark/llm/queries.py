@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, language, licenses, pii, quality
+from . import bpe, decontam, language, licenses, pii, quality
 from .common import id_crc
 
 REGISTRY = Registry({}, {})
@@ -43,3 +43,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op2_licenses")
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
