@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, decontam, language, licenses, pii, quality
-from .common import id_crc
+from . import bpe, decontam, language, licenses, pii, quality, token_files
+from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
 
@@ -48,3 +48,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op8_decontamination")
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.add("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_index(spark, folder)
