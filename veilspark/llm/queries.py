@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, decontam, language, licenses, pii, quality, token_files
+from . import bpe, cws, decontam, language, licenses, pii, quality, token_files
 from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
@@ -55,3 +55,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_index(spark, folder)
+
+
+@REGISTRY.add("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.compare_neighbours(table(spark, sf_dir, "documents"))
