@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, cws, decontam, language, licenses, pii, quality, token_files
+from . import bpe, cws, decontam, language, licenses, pii, quality, sharding, token_files
 from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
@@ -60,3 +60,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op7_fingerprints")
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
