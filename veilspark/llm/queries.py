@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, cws, decontam, language, licenses, pii, quality, sharding, token_files
+from . import bpe, cws, decontam, jaccard, language, licenses, pii, quality, sharding, token_files
 from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
@@ -66,3 +66,8 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"))
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@REGISTRY.add("op5_jaccard")
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
