@@ -51,7 +51,7 @@ CUES = {
     "phone": "phone|tel|call|fax|mobile|cell|ruf|fono",
 }
 FEATURES = ("kind", "digits", "letters", "marks", "groups", "longest", "ending", "before", "after", "cue", "distinct")
-SPAN = "array<struct<start: bigint, end: bigint, kind: int, value: string>>"
+SPAN = "array<struct<start: bigint, kind: int, end: bigint, value: string>>"
 CONTEXT = 24
 FOLDS = 5
 PRECISION = 0.98
@@ -71,8 +71,8 @@ def located(text: str, pattern: str, kind: int, gate: str, valid: str) -> str:
         def with_gaps(g: str) -> str:
             steps = f"transform({m}, (x, i) -> CAST(length({g}[i]) + length(x) AS BIGINT))"
             return let_sql(sums_before_sql(steps), lambda s: (
-                f"filter(transform({m}, (x, i) -> named_struct('start', {s}[i] + length({g}[i]), "
-                f"'end', {s}[i] + length({g}[i]) + length(x), 'kind', {kind}, 'value', x)), z -> {valid.format(x='z.value')})"
+                f"filter(transform({m}, (x, i) -> named_struct('start', {s}[i] + length({g}[i]), 'kind', {kind}, "
+                f"'end', {s}[i] + length({g}[i]) + length(x), 'value', x)), z -> {valid.format(x='z.value')})"
             ))
 
         return f"CASE WHEN size({m}) > 0 THEN {let_sql(f'split({text}, {p}, -1)', with_gaps)} ELSE CAST(array() AS {SPAN}) END"
