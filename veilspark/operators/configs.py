@@ -14,11 +14,6 @@ from . import detect
 
 MAX_CONFIG_BYTES = 1 << 20
 MAX_SERVERS = 1000
-SERVER = (
-    "struct<command:string,args:array<string>,env:map<string,string>,url:string,serverUrl:string,"
-    "headers:map<string,string>,http_headers:map<string,string>>"
-)
-
 # -- agent server configurations -----------------------------------------------------------
 
 
@@ -48,21 +43,47 @@ def _toml_to_json():
     return convert
 
 
+def _text(server: Column, *names: str) -> Column:
+    """The first of the fields that holds a string."""
+    return F.coalesce(*[
+        F.when(F.schema_of_variant(F.try_variant_get(server, f"$.{n}", "variant")) == "STRING", F.try_variant_get(server, f"$.{n}", "string"))
+        for n in names
+    ])
+
+
+def _is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def _texts(server: Column, name: str) -> Column:
+    """The strings of an array field; members of other types are skipped one by one."""
+    members = F.filter(F.try_variant_get(server, f"$.{name}", "array<variant>"), _is_text)
+    return F.transform(members, lambda v: F.try_variant_get(v, "$", "string"))
+
+
+def _text_map(server: Column, *names: str) -> Column:
+    """The string members of the first of the fields that holds an object."""
+    found = F.coalesce(*[F.try_variant_get(server, f"$.{n}", "map<string,variant>") for n in names])
+    return F.transform_values(F.map_filter(found, lambda _k, v: _is_text(v)), lambda _k, v: F.try_variant_get(v, "$", "string"))
+
+
 def servers(configs: DataFrame, *, key: str = "mcpServers", toml: bool = False) -> DataFrame:
     """Configuration files to server rows: ``client, file, server, transport`` and its fields.
 
-    Over-long, unreadable and over-full files give no rows; ``unreadable`` reports them.
+    Entries are read one by one: one that is no object is a server of unknown transport, and a field of a wrong
+    type counts as absent, neither hides the rest of its file. Over-long, unreadable and over-full files give no
+    rows; ``unreadable`` reports them.
     """
-    return _parsed(configs, key, toml).where(F.col("problem").isNull()).select(
+    entry = F.col("e.value")
+    url = _text(entry, "url", "serverUrl")
+    rows = _parsed(configs, key, toml).where(F.col("problem").isNull()).select(
         "client", "file", F.explode(F.map_entries("servers")).alias("e")
-    ).select(
+    )
+    return rows.select(
         "client", "file", F.col("e.key").alias("server"),
-        F.when(F.col("e.value.command").isNotNull(), "stdio")
-        .when(F.coalesce("e.value.url", "e.value.serverUrl").isNotNull(), "http").otherwise("unknown").alias("transport"),
-        F.col("e.value.command").alias("command"),
-        F.coalesce("e.value.args", F.array().cast("array<string>")).alias("args"), F.col("e.value.env").alias("env"),
-        F.coalesce("e.value.url", "e.value.serverUrl").alias("url"),
-        F.coalesce("e.value.headers", "e.value.http_headers").alias("headers"),
+        F.when(_text(entry, "command").isNotNull(), "stdio").when(url.isNotNull(), "http").otherwise("unknown").alias("transport"),
+        _text(entry, "command").alias("command"), F.coalesce(_texts(entry, "args"), F.array().cast("array<string>")).alias("args"),
+        _text_map(entry, "env").alias("env"), url.alias("url"), _text_map(entry, "headers", "http_headers").alias("headers"),
     )
 
 
@@ -70,9 +91,8 @@ def _parsed(configs: DataFrame, key: str, toml: bool) -> DataFrame:
     text = F.when(F.octet_length("text") <= MAX_CONFIG_BYTES, F.col("text"))
     body = _toml_to_json()(text) if toml else strip_jsonc(text)
     staged = configs.select("client", "file", F.octet_length("text").alias("bytes"), body.alias("json"))
-    valid = F.try_parse_json("json").isNotNull()
-    field = F.from_json(F.get_json_object("json", f"$.{key}"), f"map<string,{SERVER}>")
-    staged = staged.select("client", "file", "bytes", valid.alias("valid"), field.alias("servers"))
+    field = F.try_variant_get(F.try_parse_json("json"), f"$.{key}", "map<string,variant>")
+    staged = staged.select("client", "file", "bytes", F.try_parse_json("json").isNotNull().alias("valid"), field.alias("servers"))
     problem = (
         F.when(F.col("bytes") > MAX_CONFIG_BYTES, "too_large").when(~F.col("valid"), "unparsable")
         .when(F.size("servers") > MAX_SERVERS, "too_many_servers")

@@ -143,3 +143,30 @@ def line_superset(pattern: str) -> str:
     """
     widened = pattern.replace(r"\A", r"(?:\A|(?<=\n))").replace(r"\z", r"(?=\r?\n|\z)")
     return to_java(widened)
+
+
+def from_run_start(java: str, run: str) -> str:
+    """Let a match begin only where a run of a class begins, or right behind the match before.
+
+    ``run`` is a class with ``+`` that starts an alternative and is followed by a character outside the class. A try from
+    inside such a run takes the same rest as one from its beginning, so the leftmost match stays what it is, while a
+    backtracking engine no longer tries every position of a long run.
+    """
+    at = java.rfind(run)
+    if at < 0:
+        raise ValueError(f"{run} is not in the pattern")
+    return f"{java[:at]}(?:\\G|(?<!{run[:-1]})){run}+{java[at + len(run):]}"
+
+
+BLANK_LINES = r"(?m)^\s*"
+
+
+def after_blank_lines(java: str) -> str:
+    """For a pattern that starts with BLANK_LINES: no match begins at a line behind a blank one.
+
+    The line before would begin the same match earlier. Blank lines of more than 64 blanks are still tried.
+    """
+    head = to_java(BLANK_LINES)
+    if not java.startswith(head):
+        raise ValueError("the pattern does not start with blank lines")
+    return to_java("(?m)^") + r"(?<!\A[ \t\r]{0,64}\n)(?<!\n[ \t\r]{0,64}\n)" + java[len(to_java("(?m)^")):]

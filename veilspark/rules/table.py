@@ -64,16 +64,22 @@ class Rule:
         return severity_rank(self.severity)
 
 
+def _linear(rule: tuned.Tuned, java: str) -> str:
+    if rule.run:
+        java = dialect.from_run_start(java, rule.run)
+    return dialect.after_blank_lines(java) if rule.pattern.startswith(dialect.BLANK_LINES) else java
+
+
 def _tuned() -> list[Rule]:
     out = []
     for r in tuned.RULES:
         out.append(Rule(
             r.rule_id, r.rule_id.replace(".", "_"), r.severity, r.kind, r.message, r.confidence,
-            dialect.to_java(r.pattern), dialect.to_re2(r.pattern), "tuned",
+            _linear(r, dialect.to_java(r.pattern)), dialect.to_re2(r.pattern), "tuned",
             literals=tuple(x.lower() for x in r.literals), gate=_tuned_gate(r),
             shape=dialect.to_java(r.shape) if r.shape else None,
             folds_case="(?i" in r.pattern, env_paths=r.kind == tuned.ENV,
-            line_java=dialect.line_superset(r.pattern),
+            line_java=_linear(r, dialect.line_superset(r.pattern)),
         ))
     return out
 

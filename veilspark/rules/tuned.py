@@ -3,7 +3,8 @@
 Rule ids, severities, confidences, messages and patterns are fixed values.
 ``literals`` are ours: a document that holds none of them cannot match, so the
 regex is not run on it. ``shape`` is a cheap pattern with the same purpose for
-rules that have no fixed text.
+rules that have no fixed text. ``run`` is a repeated class that a match can only
+begin with where the run of its characters begins.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ class Tuned:
     confidence: float
     literals: tuple[str, ...] = ()
     shape: str | None = None
+    run: str | None = None
 
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -113,12 +115,12 @@ RULES = [
           r"|CREDENTIAL)[A-Z0-9_]*\s*=\s*\S+",
           "Sensitive environment variable assignment detected", 0.6, ("=",)),
     Tuned("pii.email", "medium", PII, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-          "Email address detected", 0.85, ("@",)),
+          "Email address detected", 0.85, ("@",), run="[a-zA-Z0-9._%+-]+"),
     Tuned("pii.plaintext_map", "high", PII,
           f"{TOKEN}[^\\n]{{0,240}}?(?:{EMAIL}|{DELIMITED_PHONE})"
           f"|(?:{EMAIL}|{DELIMITED_PHONE})[^\\n]{{0,240}}?{TOKEN}",
           "Possible plaintext restore map (token plus original value)", 0.8,
-          ("email_", "phone_", "name_"), shape=TOKEN),
+          ("email_", "phone_", "name_"), shape=TOKEN, run=r"[A-Za-z0-9._%+\-]+"),
     Tuned("pii.credit_card", "medium", PII, r"⟨\d(?:[ -]?\d){12,18}⟩",
           "Credit card number pattern detected", 0.9, shape=r"\d(?:[ -]?\d){12}"),
     Tuned("pii.ipv4", "low", PII,
