@@ -85,3 +85,26 @@ def test_ignore_coverage(spark):
     want = spark.createDataFrame([("p", ".env"), ("p", "dist/**"), ("p", "x/")], "project string, pattern string")
     have = spark.createDataFrame([("p", ".env*"), ("p", "dist/"), ("q", "x")], "project string, text string")
     assert [r.pattern for r in configs.missing_patterns(want, have).select("pattern").collect()] == ["x/"]
+
+
+def test_stream_results_do_not_depend_on_the_split(spark, tmp_path):
+    rows = [(k % 3, f"2026-01-01 0{k % 5}:10:00", f"tool{k % 2}") for k in range(40)]
+    df = spark.createDataFrame(rows, "user long, time string, tool string").selectExpr("user", "CAST(time AS timestamp) AS time", "tool")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    got = []
+    for files_per_batch in (1, 100):
+        read = lambda n=files_per_batch: jobs.read_table(spark, str(tmp_path / "in"), "*.parquet", df.schema, n)
+        got.append((
+            sorted(map(tuple, jobs.run_to_folder(read(), steps=jobs.audit_counts()).collect())),
+            sorted(map(tuple, jobs.run_to_folder(read().select("user", "tool"), steps=jobs.once(["user", "tool"])).collect())),
+            sorted(map(tuple, jobs.run_to_folder(read(), steps=jobs.cap_newest("user", "time", 1)).select("user", "time").collect())),
+        ))
+    assert got[0] == got[1] and sum(r[-1] for r in got[0][0]) == 40 and len(got[0][1]) == 6 and len(got[0][2]) == 3
+
+
+def test_server_entries_are_read_one_by_one(spark):
+    text = '{"mcpServers": {"ok": {"command": "npx", "args": ["-y", 3, null, "p"], "env": {"A": "x", "B": 5}}, "b": "str", "c": {"command": 7, "url": "http://h"}, "d": [1]}}'
+    df = spark.createDataFrame([("c", "f", text)], "client string, file string, text string")
+    got = {r.server: (r.transport, r.command, list(r.args), r.env) for r in configs.servers(df).collect()}
+    assert got == {"ok": ("stdio", "npx", ["-y", "p"], {"A": "x"}), "b": ("unknown", None, [], None), "c": ("http", None, [], None), "d": ("unknown", None, [], None)}
+    assert configs.unreadable(df).count() == 0

@@ -87,3 +87,26 @@ def test_allowlist_rows_need_a_selector():
     with pytest.raises(ValueError):
         Policy.from_dict({"allowlist": [{"reason": "x"}]})
     assert AllowEntry(expires="soon").expired() and not AllowEntry(expires="2999-01-01").expired()
+
+
+@pytest.mark.parametrize("rule_id, text", [
+    ("pii.email", "a" * (1 << 20) + " a@b.co"), ("pii.email", "x" * (1 << 20) + "@"), ("env.sensitive_assignment", "\n" * (1 << 20) + "="),
+    ("pii.plaintext_map", "x" * (1 << 20) + "@ email_" + "a" * 16),
+])
+def test_long_runs_take_linear_time(spark, rule_id, text):
+    import time
+
+    pattern = next(r.java for r in builtin() if r.rule_id == rule_id)
+    df = spark.createDataFrame([(text, pattern)], "t string, p string")
+    began = time.time()
+    df.selectExpr("size(regexp_extract_all(t, p, 0))").collect()
+    assert time.time() - began < 15
+
+
+def test_run_starts_keep_the_matches(spark):
+    texts = ["a@b.co%x@d.ef", "..a@b.c.dd1234@x.yy a@b", "\n \nAPI_TOKEN=x\n\n\n  SECRET_A = 'b'\n", "aa@@bb@cc.dd", "xa@b.com_c@d.org"]
+    plain = {"pii.email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"}
+    plain["env.sensitive_assignment"] = dialect.to_java(next(t.pattern for t in tuned.RULES if t.rule_id == "env.sensitive_assignment"))
+    for rule in (r for r in builtin() if r.rule_id in plain):
+        df = spark.createDataFrame([(t, rule.java, plain[rule.rule_id]) for t in texts], "t string, p string, q string")
+        assert df.where("NOT regexp_extract_all(t, p, 0) <=> regexp_extract_all(t, q, 0) OR NOT split(t, p) <=> split(t, q)").count() == 0

@@ -247,7 +247,7 @@ def destructive_rm(w: Column, cmd: Column) -> Column:
 
 
 def privilege(c: Column, w: Column, cmd: Column) -> Column:
-    modes = F.flatten(F.transform(F.slice(F.split(c, r"\s+"), 2, 1000), lambda x: F.split(x, ",")))
+    modes = F.flatten(F.transform(let(F.split(c, r"\s+"), lambda ws: F.slice(ws, F.lit(2), F.size(ws))), lambda x: F.split(x, ",")))
     everyone = F.exists(modes, lambda m: m.rlike(
         r"\A[0-7]*777\z|\A(?:a|(?=[ago]*u)(?=[auo]*g|[augo]*g)(?=[aug]*o|[augo]*o)[augo]+)[+=](?=[rwxst]*r)(?=[rwxst]*w)(?=[rwxst]*x)[rwxst]+\z"))
     return ((cmd == "chmod") & (F.array_contains(w, "777") | everyone)) | cmd.isin(*PRIVILEGE)

@@ -265,23 +265,22 @@ def metadata(df: DataFrame, columns: list[ResolvedColumn], material: KeyMaterial
 TOKEN_PATTERN = r"(?<![0-9A-Za-z_])([a-z][a-z0-9_]*_[a-z2-7]{13,26})(?![a-z2-7])"
 
 
-def _lookup(tokens: DataFrame, restore: DataFrame, size: int | None) -> DataFrame:
-    small = F.broadcast(restore) if size is not None and size <= BROADCAST_TOKENS else restore
-    return tokens.join(small, "token", "left")
-
-
 def restore_table(df: DataFrame, columns: list[str], restore: DataFrame, size: int | None = None) -> DataFrame:
     """Put originals back into columns of whole-cell tokens.
 
     ``size`` is the number of tokens when known; a map beyond the limit joins by
-    shuffle.
+    shuffle. Cells that no token looks like (empty, ``N/A``, marks for unparsed
+    values) get keys of their own, spread over the tasks, that the map has not.
     """
     out = df
     first = restore.select("token", F.get("originals", F.lit(0)).alias("__original"))
+    rest = F.concat(F.lit(" "), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
     for name in columns:
-        part = first.withColumnRenamed("token", name)
+        key = F.when(F.col(name).rlike(r"\A[a-z][a-z0-9_]*_[a-z2-7]{13,26}\z"), F.col(name)).otherwise(rest)
+        part = first.withColumnRenamed("token", "__key")
         part = F.broadcast(part) if size is not None and size <= BROADCAST_TOKENS else part
-        out = out.join(part, name, "left").withColumn(name, F.coalesce("__original", name)).drop("__original")
+        out = out.withColumn("__key", key).join(part, "__key", "left")
+        out = out.withColumn(name, F.coalesce("__original", name)).drop("__original", "__key")
     return out.select(*df.columns)
 
 

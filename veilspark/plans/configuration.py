@@ -73,11 +73,11 @@ def aud_config_secrets(spark, sf_dir):
     return configs.secret_literals(servers(spark, sf_dir), rules=rules).select("file", "server", "field", "rule_id")
 
 
-_BAD = """SELECT 'x' AS client, cast(p_partkey as string) AS file, CASE p_size % 3 WHEN 0 THEN '{"mcpServers": {' WHEN 1 THEN '{"mcpServers": {}}'
-ELSE concat('{"mcpServers": {"a": "', repeat('x', 1048576), '"}}') END AS text FROM {part} WHERE p_size < 4"""
+_BAD = """SELECT 'x' AS client, cast(p_partkey as string) AS file, CASE WHEN p_partkey % 97 = 5 THEN concat('{"mcpServers": {"a": "', repeat('x', 1048576), '"}}')
+WHEN p_size % 3 = 0 THEN '{"mcpServers": {' ELSE '{"mcpServers": {}}' END AS text FROM {part}"""
 
 
-@REGISTRY.add("aud_unreadable", "SELECT cast(p_partkey as string) AS file, CASE p_size % 3 WHEN 0 THEN 'unparsable' ELSE 'too_large' END AS problem FROM part WHERE p_size < 4 AND p_size % 3 <> 1")
+@REGISTRY.add("aud_unreadable", "SELECT cast(p_partkey as string) AS file, CASE WHEN p_partkey % 97 = 5 THEN 'too_large' ELSE 'unparsable' END AS problem FROM part WHERE p_partkey % 97 = 5 OR p_size % 3 = 0")
 def aud_unreadable(spark, sf_dir):
     return configs.unreadable(derived(spark, sf_dir, _BAD)).select("file", "problem")
 
@@ -173,8 +173,8 @@ for _key in ("agg_env_file_state", "aud_env_files"):
 
 # -- ignore files ---------------------------------------------------------------------------------
 REQUIRED = (".env", ".env.*", "node_modules/**", "dist/", "secrets")
-_PRESENT = """SELECT c_nationkey AS project, CASE c_custkey % 7 WHEN 0 THEN ' .env* ' WHEN 1 THEN '# .env' WHEN 2 THEN 'node_modules' WHEN 3 THEN 'dist' WHEN 4 THEN 'secrets/' WHEN 5 THEN '' ELSE 'x' END AS text
-FROM {customer} WHERE c_acctbal > 9000"""
+_PRESENT = """SELECT c_nationkey AS project, CASE WHEN c_custkey % 7 = c_nationkey % 7 THEN 'y' WHEN c_custkey % 7 = 0 THEN ' .env* ' WHEN c_custkey % 7 = 1 THEN '# .env' WHEN c_custkey % 7 = 2 THEN 'node_modules'
+WHEN c_custkey % 7 = 3 THEN 'dist' WHEN c_custkey % 7 = 4 THEN 'secrets/' WHEN c_custkey % 7 = 5 THEN '' ELSE 'x' END AS text FROM {customer}"""
 _REQ = "SELECT n_nationkey AS project, pattern FROM {nation} CROSS JOIN (VALUES " + ", ".join(f"('{p}')" for p in REQUIRED) + ") t(pattern)"
 _MISSING = f"""WITH p AS ({for_oracle(_PRESENT)}) SELECT project, pattern FROM ({for_oracle(_REQ)}) r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = r.project AND
 CASE trim(p.text) WHEN '.env*' THEN r.pattern IN ('.env', '.env.*') WHEN 'node_modules' THEN r.pattern = 'node_modules/**' WHEN 'dist' THEN r.pattern = 'dist/' WHEN 'secrets/' THEN r.pattern = 'secrets' ELSE false END)"""

@@ -30,12 +30,13 @@ def _content(spark, sf_dir):
     return rows.select("doc_id", "path", data.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
 
 
-BYTES = "CASE doc_id % 5 WHEN 3 THEN strlen(coalesce(text, '')) + 3 WHEN 4 THEN strlen(coalesce(text, '')) + 1 ELSE strlen(coalesce(text, '')) END"
+UTF16 = "2 + 2 * (length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
+BYTES = f"CASE doc_id % 5 WHEN 1 THEN {UTF16} WHEN 2 THEN {UTF16} WHEN 3 THEN strlen(coalesce(text, '')) + 3 WHEN 4 THEN strlen(coalesce(text, '')) + 1 ELSE strlen(coalesce(text, '')) END"
 
 
-@REGISTRY.add("src_file_decode", "SELECT path, md5(CASE doc_id % 5 WHEN 4 THEN concat(text, '�') ELSE text END) AS digest FROM (" + for_oracle(RAW) + ") WHERE doc_id % 5 <> 3")
+@REGISTRY.add("src_file_decode", "SELECT path, md5(CASE doc_id % 5 WHEN 3 THEN concat('ab', chr(0), text) WHEN 4 THEN concat(text, '�') ELSE text END) AS digest FROM (" + for_oracle(RAW) + ")")
 def src_file_decode(spark, sf_dir):
-    rows = _content(spark, sf_dir).where(F.col("doc_id") % 5 != 3)
+    rows = _content(spark, sf_dir)
     return rows.select("path", F.md5(files.decode(F.col("content"))["text"].cast("binary")).alias("digest"))
 
 
@@ -46,9 +47,9 @@ def flt_binary(spark, sf_dir):
 
 @REGISTRY.add("det_skip_notices", f"""WITH f AS (SELECT path, doc_id, {BYTES} AS size FROM ({for_oracle(RAW)}))
 SELECT path AS file, CASE WHEN size > 8000 THEN 'scan.file_too_large' WHEN doc_id % 5 = 3 THEN 'scan.binary_skipped' ELSE 'scan.non_utf8_lossy' END AS rule_id
-FROM f WHERE doc_id % 5 NOT IN (1, 2) AND (size > 8000 OR doc_id % 5 IN (3, 4))""")
+FROM f WHERE size > 8000 OR doc_id % 5 IN (3, 4)""")
 def det_skip_notices(spark, sf_dir):
-    rows = _content(spark, sf_dir).where(~(F.col("doc_id") % 5).isin(1, 2))
+    rows = _content(spark, sf_dir)
     return files.notices(files.classify(rows, POLICY)).select("file", "rule_id")
 
 
@@ -116,8 +117,8 @@ def src_policy(spark, sf_dir):
 
 
 @REGISTRY.add("flt_only_known", f"""WITH f AS (SELECT path, doc_id, {BYTES} AS size FROM ({for_oracle(RAW)}))
-SELECT bool_or(size > 8000 OR doc_id % 5 = 3) AS not_inspected FROM f WHERE doc_id % 5 NOT IN (1, 2)""")
+SELECT bool_or(size > 8000 OR doc_id % 5 = 3) AS not_inspected FROM f""")
 def flt_only_known(spark, sf_dir):
     """A leftover check is void when any file was not looked at."""
-    rows = _content(spark, sf_dir).where(~(F.col("doc_id") % 5).isin(1, 2))
+    rows = _content(spark, sf_dir)
     return files.not_inspected(files.notices(files.classify(rows, POLICY)))

@@ -116,7 +116,7 @@ def mask_bytes(spark, sf_dir):
 
 
 DISPLAY_RULES = [r for r in builtin() if r.rule_id in ("pii.email", "secret.aws_access_key")]
-_SHOWN = f"concat('mail ', {MAIL}, ' key ', {KEY}, ' card 4111-1111-1111-1112 ', substr(coalesce(text, ''), 1, doc_id % 300))"
+_SHOWN = f"concat('mail ', {MAIL}, ' key ', {KEY}, ' card 4111-1111-1111-1112 ', coalesce(text, ''))"
 _LINES = f"SELECT doc_id, replace({_SHOWN}, chr(10), ' ') AS line FROM {{documents}}"
 _RED = f"regexp_replace(regexp_replace(line, {EMAIL}, '[REDACTED]', 'g'), {AKIA}, '[REDACTED]', 'g')"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, scan
+from ..operators import audit
 from ..operators.detect import severity_rank
 from ..rules.table import builtin
 from ..streaming import jobs
@@ -65,7 +65,7 @@ def str_bad_lines(spark, sf_dir):
 FROM entries WHERE event = 'blocked') WHERE rn <= 50""")
 def str_cap_newest(spark, sf_dir):
     rows = jobs.tail_blocked(_lines(spark, sf_dir), "line").select("user_id", "event_id")
-    return jobs.run_to_folder(rows, per_batch=jobs.cap_newest("user_id", "event_id"))
+    return jobs.run_to_folder(rows, steps=jobs.cap_newest("user_id", "event_id"))
 
 
 @REGISTRY.add("str_retention", "SELECT count(*) AS n FROM events")
@@ -75,12 +75,11 @@ def str_retention(spark, sf_dir):
     return jobs.run_to_folder(bounded.select("event_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@REGISTRY.add("str_audit_counts", f"""WITH {ENTRIES}, top AS (SELECT max(at_time) AS m FROM entries WHERE tool IS NOT NULL AND at_time IS NOT NULL)
-SELECT cast(date_trunc('hour', at_time) AS VARCHAR) AS window_start, tool, count(*) AS n FROM entries, top WHERE tool IS NOT NULL AND at_time IS NOT NULL
-AND date_trunc('hour', at_time) + INTERVAL 1 HOUR <= m - INTERVAL 10 MINUTE GROUP BY ALL""")
+@REGISTRY.add("str_audit_counts", f"""WITH {ENTRIES}
+SELECT cast(date_trunc('hour', at_time) AS VARCHAR) AS window_start, tool, count(*) AS n FROM entries WHERE tool IS NOT NULL AND at_time IS NOT NULL GROUP BY ALL""")
 def str_audit_counts(spark, sf_dir):
     rows = audit.entries(audit.parse_lines(_lines(spark, sf_dir), "line"))
-    counts = jobs.run_to_folder(jobs.audit_counts(rows))
+    counts = jobs.run_to_folder(rows.select("tool", "time"), steps=jobs.audit_counts())
     return counts.select(F.concat(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.lit("+00")).alias("window_start"), "tool", "n")
 
 
@@ -88,6 +87,6 @@ def str_audit_counts(spark, sf_dir):
 SELECT user_id, 'pii.email' AS rule_id, {value_hash_sql('pii.email', "concat('user', user_id, '@mail.test')")} AS value_hash FROM m
 UNION ALL SELECT user_id, 'pii.ipv4', {value_hash_sql('pii.ipv4', "concat('10.0.0.', user_id % 250)")} FROM m""")
 def str_dedup(spark, sf_dir):
-    found = jobs.scan_stream(_messages(spark, sf_dir), carry=["user_id", "ts"], rules=RULES)
-    once = scan.stream_dedup(found, "10 minutes", "ts", ["user_id"])
-    return jobs.run_to_folder(once.select("user_id", "rule_id", "value_hash"))
+    found = jobs.scan_stream(_messages(spark, sf_dir), carry=["user_id"], rules=RULES)
+    keys = ["user_id", "rule_id", "value_hash"]
+    return jobs.run_to_folder(found.select(*keys), steps=jobs.once(keys))
