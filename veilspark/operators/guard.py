@@ -23,7 +23,7 @@ PATH_KEYS = (
     "filename", "notebook_path", "paths", "SearchPath",
 )
 TEXT_KEYS = ("prompt", "text", "content", "command", "stdin", "args", "url")
-CONTAINERS = ("$", "$.tool_input", "$.toolArgs", "$.arguments", "$.input")
+GLOB_KEYS = ("glob", "include")
 WRITE_WORDS = ("write", "edit", "create", "update", "delete")
 
 # --- fixed values: paths ----------------------------------------------------------------
@@ -53,6 +53,7 @@ DOTENV_SAFE = (
 GIT_SAFE = "add rm status check-ignore ls-files restore checkout reset clean update-index".split()
 TRANSFER = "curl wget nc netcat ssh scp rsync ftp sftp".split()
 PRIVILEGE = "sudo su chown chgrp mount umount systemctl service".split()
+DECRYPTERS = {"dotenvx": ("get", "decrypt", "keypair")}
 PACKAGE_MANAGERS = "apt yum dnf pacman brew".split()
 DB_CLIENTS = "psql mysql mongosh mongo redis-cli sqlite3 sqlite".split()
 DB_WORDS = (
@@ -93,28 +94,34 @@ def _any_wildcard(text: Column, patterns) -> Column:
 # -- extraction ---------------------------------------------------------------------------
 
 
+JSON_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+
+
 def _strings(payload: Column, keys, joined: bool = True) -> Column:
-    """Strings under the keys, in the payload and its argument containers.
+    """Strings under the keys at any depth of the payload, in the order of its canonical JSON.
 
-    An array of strings counts by its items and, when ``joined``, as one command line.
+    An array of strings counts by its items and, when ``joined``, as one command line. The canonical text has no
+    spaces, and a quote inside a string is escaped, so the pattern finds keys only and takes whole values.
     """
-    out = []
-    for container in CONTAINERS:
-        for key in keys:
-            at = f"{container}.{key}"
-            kind = F.schema_of_variant(F.try_variant_get(payload, at, "variant"))
-            out.append(F.when(kind == "STRING", F.array(F.try_variant_get(payload, at, "string"))).when(
-                kind.startswith("ARRAY"), let(F.try_variant_get(payload, at, "array<string>"), lambda a: (
-                    F.concat(F.array(F.array_join(a, " ")), a) if joined else a))))
-    return F.flatten(F.filter(F.array(*out), lambda a: a.isNotNull()))
+    names = "|".join(dict.fromkeys(keys))
+    found = F.regexp_extract_all(
+        F.to_json(payload), F.lit(rf'(?<!\\)"(?:{names})":({JSON_TEXT}|\[(?:{JSON_TEXT},?)*+\])'), F.lit(1)
+    )
+
+    def items(value: Column) -> Column:
+        many = value.startswith("[")
+        texts = F.from_json(F.when(many, value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), "array<string>")
+        return let(texts, lambda a: F.when(many & F.lit(joined) & (F.size(a) > 0), F.concat(F.array(F.array_join(a, " ")), a)).otherwise(a))
+
+    return F.coalesce(F.flatten(F.transform(found, items)), F.array().cast("array<string>"))
 
 
 def extract(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``commands``, ``paths`` and ``access`` to events; bad JSON gives none."""
     parsed = events.select("*", F.try_parse_json(F.col(payload)).alias("__v"))
-    commands = F.array_sort(F.array_distinct(F.filter(
-        F.concat(_strings(F.col("__v"), COMMAND_KEYS), _strings(F.col("__v"), GENERIC_KEYS)), lambda c: c.isNotNull())))
-    paths = F.array_sort(F.array_distinct(F.filter(_strings(F.col("__v"), PATH_KEYS), lambda p: p.isNotNull())))
+    commands = F.array_sort(F.array_distinct(_strings(F.col("__v"), (*COMMAND_KEYS, *GENERIC_KEYS))))
+    globs = F.filter(_strings(F.col("__v"), GLOB_KEYS), is_dotenv_path)  # a search that selects dotenv files reads them
+    paths = F.array_sort(F.array_distinct(F.concat(_strings(F.col("__v"), PATH_KEYS), globs)))
     write = F.lower(F.col(payload)).rlike("|".join(WRITE_WORDS))
     return parsed.select(
         *events.columns, commands.alias("commands"), paths.alias("paths"),
@@ -201,7 +208,11 @@ def secret_dump(c: Column, w: Column, cmd: Column) -> Column:
     dotenv = F.exists(rest, is_dotenv_path)
     safe = cmd.isin(*DOTENV_SAFE) | ((cmd == "git") & F.coalesce(F.get(w, F.lit(1)), F.lit("")).isin(*GIT_SAFE))
     redirected = F.exists(F.regexp_extract_all(c, F.lit(r"<\s*([^\s<>|;&]+)"), F.lit(1)), is_secret_path)
-    return (cmd.isin(*READERS) & secret) | (~cmd.isin(*READERS) & ~safe & dotenv) | redirected
+    first = F.coalesce(F.get(F.filter(rest, lambda x: ~x.startswith("-")), F.lit(0)), F.lit(""))
+    reveals = F.lit(False)
+    for name, verbs in DECRYPTERS.items():
+        reveals = reveals | ((cmd == name) & first.isin(*verbs))
+    return (cmd.isin(*READERS) & secret) | (~cmd.isin(*READERS) & ~safe & dotenv) | redirected | reveals
 
 
 def env_dump(c: Column, w: Column, cmd: Column) -> Column:

@@ -21,6 +21,7 @@ COMMANDS = [
     ("python3 -c 'print os.environ'", "environment_dump"), ("git add .env", None), ("git show HEAD:.env", "secret_dump_command"),
     ("paste .env.local", "secret_dump_command"), ("grep x < secrets/key.pem", "secret_dump_command"),
     ("tail ~/.zsh_history", "secret_dump_command"), ("node -e 1", None), ("declare -x", "environment_dump"), ("echo done", None),
+    ("dotenvx get API_KEY", "secret_dump_command"), ("dotenvx run -- make", None),
 ]
 N = len(COMMANDS)
 
@@ -35,8 +36,8 @@ EVENTS = f"SELECT o_orderkey AS event_id, o_orderpriority AS tool, {CMD} AS comm
 EXPECTED = _pick(f"o_orderkey % {N}", [x for _, x in COMMANDS])
 
 PAYLOADS = f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('{{"tool_input":{{"command":"', command, ' && echo ', cast(event_id as string), '"}}}}')
-WHEN 1 THEN concat('{{"command":"', command, '","args":["x","y"]}}') WHEN 2 THEN concat('{{"tool_name":"Read","tool_input":{{"file_path":"src/u', cast(event_id as string), '/',
-CASE event_id % 3 WHEN 0 THEN '.env' WHEN 1 THEN 'main.py' ELSE 'tokens/a.json' END, '"}}}}') ELSE 'not json' END AS payload
+WHEN 1 THEN concat('{{"a":{{"b":[{{"c":{{"command":"', command, '"}}}}]}},"args":["x","y"]}}') WHEN 2 THEN concat('{{"tool_name":"Read","tool_input":{{"edits":[{{"n":1}},{{"file_path":"src/u', cast(event_id as string), '/',
+CASE event_id % 3 WHEN 0 THEN '.env' WHEN 1 THEN 'main.py' ELSE 'tokens/a.json' END, '"}}]}}}}') ELSE 'not json' END AS payload
 FROM ({EVENTS})"""
 
 
@@ -82,8 +83,8 @@ def grd_profile(spark, sf_dir):
 
 
 @REGISTRY.add("grd_extract", f"""WITH p AS ({for_oracle(PAYLOADS)}) SELECT event_id,
-CASE event_id % 4 WHEN 0 THEN json_extract_string(payload, '$.tool_input.command') WHEN 1 THEN array_to_string(list_sort([json_extract_string(payload, '$.command'), 'x y', 'x', 'y']), '|') ELSE '' END AS commands,
-CASE event_id % 4 WHEN 2 THEN json_extract_string(payload, '$.tool_input.file_path') ELSE '' END AS paths
+CASE event_id % 4 WHEN 0 THEN json_extract_string(payload, '$.tool_input.command') WHEN 1 THEN array_to_string(list_sort([json_extract_string(payload, '$.a.b[0].c.command'), 'x y', 'x', 'y']), '|') ELSE '' END AS commands,
+CASE event_id % 4 WHEN 2 THEN json_extract_string(payload, '$.tool_input.edits[1].file_path') ELSE '' END AS paths
 FROM p WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, '', '' FROM p WHERE event_id % 4 = 3""")
 def grd_extract(spark, sf_dir):
     rows = guard.extract(derived(spark, sf_dir, PAYLOADS))
@@ -157,6 +158,6 @@ def grd_first_category(spark, sf_dir):
 _TOOL = """SELECT event_id, concat('{"tool":"', event_type, '","prompt":"ask ', cast(user_id as string), '","tool_input":{"content":"body ', cast(event_id as string), '","other":"no"},"args":["a","b"]}') AS payload FROM {events}"""
 
 
-@REGISTRY.add("src_tool_payloads", f"""SELECT event_id, concat(json_extract_string(payload, '$.prompt'), chr(10), 'a', chr(10), 'b', chr(10), json_extract_string(payload, '$.tool_input.content')) AS text FROM ({for_oracle(_TOOL)})""")
+@REGISTRY.add("src_tool_payloads", f"""SELECT event_id, concat('a', chr(10), 'b', chr(10), json_extract_string(payload, '$.prompt'), chr(10), json_extract_string(payload, '$.tool_input.content')) AS text FROM ({for_oracle(_TOOL)})""")
 def src_tool_payloads(spark, sf_dir):
     return derived(spark, sf_dir, _TOOL).select("event_id", guard.payload_text(F.col("payload")).alias("text"))
