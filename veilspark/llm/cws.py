@@ -29,21 +29,21 @@ LOW = (1 << 31) - 1
 
 
 def draw(k: int) -> str:
-    """SQL over the term hash ``h`` and ``weight``: rank and drawn pair of one draw, as one whole number."""
+    """SQL over the term hash ``h`` and ``weight``, the logarithm of its count: rank and drawn pair of one draw, as one whole number."""
     a, b = f"xxhash64(h, {2 * k})", f"xxhash64(h, {2 * k + 1})"
     unit = lambda z, shift: f"((shiftrightunsigned({z}, {shift}) & 16777215L) + 0.5D) / 16777216D"
     r = f"(-ln({unit(a, 40)} * {unit(a, 16)}))"
     c = f"(-ln({unit(b, 40)} * {unit(b, 16)}))"
     beta = f"((({a} & 65535L) + 0.5D) / 65536D)"
-    t = f"floor(ln(weight) / {r} + {beta})"
-    rank = f"(ln({c}) - {r} * ({t} - {beta}) - {r})"
+    t = f"floor(weight / {r} + {beta})"
+    rank = f"(ln({c}) - {r} * ({t} - {beta} + 1D))"
     pair = f"(({b} ^ (CAST({t} AS BIGINT) * 40503L)) & {LOW}L)"
     place = f"CAST(greatest(0D, least(4294967295D, ({rank} + 96D) * 33554432D)) AS BIGINT)"
     return f"{place} * 2147483648L + {pair}"
 
 
 def with_terms(df: DataFrame, text: str) -> DataFrame:
-    """One row for each distinct term of ``text`` with its hash and count; a text without terms has one null row."""
+    """One row for each distinct term of ``text`` with its hash and the logarithm of its count; a text without terms has one null row."""
     words = f"transform(regexp_extract_all({text}, '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> xxhash64(w))"
     sorted_ = df.withColumn("hs", F.expr(f"sort_array({words})")).drop(text)
     runs = sorted_.withColumn(
@@ -52,7 +52,7 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     rest = [c for c in df.columns if c != text]
     each = runs.select(*rest, "hs", "runs", F.posexplode_outer("runs").alias("nth", "at"))
     return each.select(
-        *rest, F.expr("get(hs, at)").alias("h"), F.expr("CAST(coalesce(get(runs, nth + 1), size(hs)) - at AS DOUBLE)").alias("weight")
+        *rest, F.expr("get(hs, at)").alias("h"), F.expr("ln(CAST(coalesce(get(runs, nth + 1), size(hs)) - at AS DOUBLE))").alias("weight")
     )
 
 

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let_sql
+
 ROWS = 500
 WIDE = 256
 FINE = 256
 
 
-def case_of(bounds: list[float], value: str, low: int = 0) -> str:
-    """SQL: how many of the sorted bounds are at most ``value``, by halving."""
-    if not bounds:
-        return str(low)
-    mid = len(bounds) // 2
-    return (
-        f"CASE WHEN {value} < {bounds[mid]!r}D THEN {case_of(bounds[:mid], value, low)} "
-        f"ELSE {case_of(bounds[mid + 1:], value, low + mid + 1)} END"
-    )
-
-
 def bucket_of(docs: DataFrame, doc_id: str = "doc_id", rows: int = ROWS) -> Column:
     """A column that never falls as the id grows, with about ``rows`` rows to a value and at most WIDE x FINE values.
 
@@ -32,16 +23,17 @@ def bucket_of(docs: DataFrame, doc_id: str = "doc_id", rows: int = ROWS) -> Colu
     fine = max(1, min(FINE, -(-n // (rows * wide))))
     inner = []
     if n and wide > 1:
-        found = docs.select(F.col(doc_id).cast("double").alias("v")).approxQuantile("v", [k / wide for k in range(1, wide)], 0.1 / wide)
+        found = docs.select(F.col(doc_id).cast("double").alias("v")).approxQuantile("v", [k / wide for k in range(1, wide)], 0.25 / wide)
         inner = sorted(set(found))
     value = f"CAST({doc_id} AS DOUBLE)"
     edges = [float(low or 0), *inner, float(high or 0) + 1]
-    outer = f"({case_of(inner, value)})"
-    if fine == 1:
-        at = outer
-    else:
-        lows = f"array({', '.join(f'{x!r}D' for x in edges[:-1])})"
-        widths = f"array({', '.join(f'{max(b - a, 1.0)!r}D' for a, b in zip(edges, edges[1:], strict=False))})"
-        step = f"CAST(floor(({value} - {lows}[{outer}]) / {widths}[{outer}] * {fine}) AS INT)"
-        at = f"{outer} * {fine} + greatest(0, least({fine - 1}, {step}))"
+    listed = lambda xs: "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
+    outer = f"size(filter({listed(inner)}, b -> b <= {value}))" if inner else "0"
+    widths = [max(b - a, 1.0) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def within(o: str) -> str:
+        step = f"CAST(floor(({value} - {listed(edges[:-1])}[{o}]) / {listed(widths)}[{o}] * {fine}) AS INT)"
+        return f"{o} * {fine} + greatest(0, least({fine - 1}, {step}))"
+
+    at = outer if fine == 1 else let_sql(outer, within)
     return F.expr(f"CASE WHEN {doc_id} IS NULL THEN CAST(shiftright(xxhash64(text), 56) AS INT) - 1000 ELSE {at} END")
