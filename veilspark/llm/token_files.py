@@ -119,7 +119,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
         f"part int, block int, start long, first {kind}, last {kind}, doc_ids array<{kind}>, offsets array<long>, "
         "tokens array<long>, width int, dictionary string, payload binary"
     )
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(blocks, schema).write.parquet(f"{folder}/blocks")
 
 
