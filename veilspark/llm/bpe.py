@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .tokens import Encoder, byte_table, joined_numbers
+from .tokens import Encoder, Numbers, byte_table
 
 LEAF = 1 << 15
 WINDOW = 32
@@ -44,6 +44,7 @@ class Tree:
     def __init__(self, path: str):
         self.encoder = Encoder(path, "space")
         self.table = byte_table(self.encoder.library)
+        self.numbers = Numbers(len(self.table))
         self.lengths = np.array([len(b) for b in self.table], np.int64)
         self.window = max(WINDOW, 2 * self.encoder.longest_added)
 
@@ -87,7 +88,7 @@ class Tree:
 
     def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
         back = self.decode(ids).encode()
-        return len(ids), hashlib.sha256(joined_numbers(ids)).hexdigest(), hashlib.sha256(back).hexdigest()
+        return len(ids), hashlib.sha256(self.numbers.joined(ids)).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 @lru_cache(maxsize=2)
