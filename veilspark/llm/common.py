@@ -50,7 +50,17 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and no executor's loss undoes it."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Delete what ``kept`` wrote for frames that no later job reads."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -6,8 +6,8 @@ token. Similar sets choose common tokens, so they meet. Small buckets are compar
 signatures. A bucket that stays large is compared with its first member, which takes out all that are very like it
 (whatever is similar to one of these is tied to the first member as well), and the rest goes one level down. With
 ``TOKENS`` = 2 a pair of similarity 0.8 survives each level with probability over 0.66, and ``runs_for`` gives the
-number of runs for the target recall; all runs go through the same jobs. What is left at the last level is taken as
-one candidate group.
+number of runs for the target recall. The first ``EARLY`` runs go through the same jobs together, then the others, which
+skip buckets whose sets are all tied already. What is left at the last level is taken as one candidate group.
 
 Candidates tie sets into groups, by minimum labels with pointer jumping. Each group is then compared exactly, all
 pairs of it, in packs: a pack is some sets compressed into one row, and pairs of packs go to tasks of their own, so a
@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, kept, packed, texts
+from .common import ROW, kept, packed, released, texts
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999999
+EARLY = 4
 TOKENS = 2.0
 LEVELS = 3
 SMALL = 64
@@ -115,7 +117,7 @@ def binary(values) -> pa.Array:
 
 
 def grams_of(docs: DataFrame, runs: int, words: int) -> DataFrame:
-    """uid, doc_id, key of the set, its size, the set, its signature and its buckets on the first level."""
+    """uid, doc_id, key of the set, its size, the set, its signature and its first buckets in early and late runs."""
     roots = seeds(runs, 23)
 
     def build(batches):
@@ -127,12 +129,13 @@ def grams_of(docs: DataFrame, runs: int, words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "uid": batch["uid"], "doc_id": batch["doc_id"], "key": binary(keys), "n": pa.array([len(s) for s in sets], pa.int32()),
                 "grams": binary(raw), "sig": binary(signature(s) if s.size else b"" for s in sets),
-                "paths": pa.array([children(roots, s).tolist() for s in sets], pa.list_(pa.int64())),
+                "early": pa.array([children(roots[:EARLY], s).tolist() for s in sets], pa.list_(pa.int64())),
+                "late": pa.array([children(roots[EARLY:], s).tolist() for s in sets], pa.list_(pa.int64())),
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
-        build, f"uid long, doc_id {kind}, key binary, n int, grams binary, sig binary, paths array<long>"
+        build, f"uid long, doc_id {kind}, key binary, n int, grams binary, sig binary, early array<long>, late array<long>"
     )
 
 
@@ -231,42 +234,62 @@ def below(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     def choose(batches):
         for batch in batches:
-            paths, uid, n, sig = [], [], [], []
+            paths, uid = [], []
             for k, nodes in enumerate(batch["nodes"].to_pylist()):
                 found = children(np.array(nodes, np.int64).view(np.uint64), np.frombuffer(batch["grams"][k].as_buffer(), np.uint32))
                 paths.append(found)
                 uid += [batch["uid"][k].as_py()] * len(found)
-                n += [batch["n"][k].as_py()] * len(found)
-                sig += [batch["sig"][k].as_py()] * len(found)
             yield pa.RecordBatch.from_pydict({
                 "path": pa.array(np.concatenate(paths) if paths else [], pa.int64()), "uid": pa.array(uid, pa.int64()),
-                "n": pa.array(n, pa.int32()), "sig": binary(sig),
             })
 
-    nodes = rows.groupBy("uid").agg(F.collect_set("path").alias("nodes"))
-    return nodes.join(sets.select("uid", "n", "sig", "grams"), "uid").mapInArrow(choose, "path long, uid long, n int, sig binary")
+    nodes = kept(rows.groupBy("uid").agg(F.collect_set("path").alias("nodes")), "jaccard-nodes")
+    return sets.select("uid", "grams").join(checked(nodes, nodes.count()), "uid").mapInArrow(choose, "path long, uid long")
 
 
-def candidates(members: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Frames of edges a, b; every pair of similar sets is tied by them, to the target recall."""
-    rows = members.select(F.explode("paths").alias("path"), "uid", "n", "sig")
+def level_of(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges among buckets of one level, and the rows that go on below.
+
+    ``rows`` has path, uid and comp. Buckets of one set, or of sets that are all tied already, are done; the counts of
+    the others decide which rows are fetched at all.
+    """
+    counts = kept(
+        rows.groupBy("path").agg(F.count("*").alias("m"), F.min("uid").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .where("m > 1 AND c0 != c1").select("path", "m", "first"), "jaccard-counts",
+    )
+    open_rows = rows.select("path", "uid").join(checked(counts, counts.count()), "path")
+    light = members.select("uid", "n", "sig")
+    small = small_buckets(open_rows.where(F.col("m") <= SMALL).select("path", "uid").join(light, "uid"))
+    firsts = kept(
+        counts.where(F.col("m") > SMALL).select(F.col("first").alias("uid")).distinct().join(light, "uid")
+        .select(F.col("uid").alias("first"), F.col("sig").alias("pivot")), "jaccard-pivots",
+    )
+    large = open_rows.where(F.col("m") > SMALL).select("path", "uid", "first").join(light, "uid").join(checked(firsts, firsts.count()), "first")
+    judged = kept(against_pivot(large.select("path", "uid", "n", "sig", "first", "pivot")), "jaccard-judged")
+    tied = judged.where("tied AND uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct()
+    return kept(small.unionByName(tied), "jaccard-found"), judged.where("NOT taken")
+
+
+def candidates(members: DataFrame, sets: DataFrame, paths: str, comps: DataFrame | None) -> DataFrame:
+    """Edges a, b that tie sets which may be similar and are not tied by ``comps`` yet."""
+    known = F.col("uid").alias("comp")
+    if comps is not None:
+        members = members.join(checked(comps.withColumnRenamed("node", "uid"), comps.count()), "uid", "left")
+        known = F.coalesce("comp", "uid").alias("comp")
+    own = members.select("uid", known)
+    rows = members.select(F.explode(paths).alias("path"), "uid", known)
     found = []
     for level in range(LEVELS):
-        large = kept(rows.groupBy("path").agg(
-            F.count("*").alias("m"), F.min_by(F.struct("uid", "sig"), "uid").alias("p")
-        ).where(F.col("m") > SMALL).select("path", F.col("p.uid").alias("first"), F.col("p.sig").alias("pivot")), "jaccard-large")
-        many = large.count()
-        found.append(kept(small_buckets(rows.join(checked(large.select("path"), many), "path", "left_anti")), "jaccard-small"))
-        if not many:
+        edges, left = level_of(rows, members)
+        found.append(edges)
+        if left.isEmpty():
             break
-        judged = kept(against_pivot(rows.join(checked(large, many), "path").select("path", "uid", "n", "sig", "first", "pivot")), "jaccard-pivots")
-        found.append(judged.where("tied AND uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
-        left = judged.where("NOT taken")
         if level + 1 < LEVELS:
-            rows = kept(below(left, sets), "jaccard-level")
+            lower = kept(below(left, sets), "jaccard-level")
+            rows = lower.join(checked(own, own.count()), "uid") if comps is not None else lower.withColumn("comp", F.col("uid"))
         else:
             found.append(left.select(F.col("uid").alias("a"), F.col("first").alias("b")))
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,7 +379,7 @@ def exact(packs: DataFrame, similarity: float) -> DataFrame:
             if not sides or (i != j and len(sides) < 2):
                 continue
             (uid_a, copies_a, a), (uid_b, copies_b, b) = sides[0], sides[-1]
-            size_a, size_b = (np.array([len(s) for s in x], np.float32) for x in (a, b))
+            size_a, size_b = (np.array([len(s) for s in x], float) for x in (a, b))
             inter = overlaps(a, b)
             # written without a division, so a pair on the threshold counts whatever its sizes
             link = inter >= similarity / (1 + similarity) * np.add.outer(size_a, size_b) - 1e-3
@@ -392,21 +415,21 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     full = sets.where("n > 0")
     equal = kept(full.groupBy("key").agg(F.min("uid").alias("member"), F.count("*").alias("copies")), "jaccard-equal")
     members = kept(
-        full.select("uid", "key", "n", "sig", "paths").join(equal.select("key", F.col("member").alias("uid"), "copies"), ["key", "uid"]),
+        full.select("uid", "key", "n", "sig", "early", "late").join(equal.select("key", F.col("member").alias("uid"), "copies"), ["key", "uid"]),
         "jaccard-members",
     )
-    edges = candidates(members, full)
-    tied = edges[0]
-    for more in edges[1:]:
-        tied = tied.unionByName(more)
+    # what the early runs tie is one node to the late ones, which skip buckets within it
+    tied = candidates(members, full, "early", None)
     comps = components(tied)
+    if runs_for(recall) > EARLY:
+        comps = components(tied.unionByName(candidates(members, full, "late", comps)))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("m")).withColumn("packs", F.ceil(F.col("m") / PACK).cast("long"))
     known = sizes.where("packs > 1")
-    placed = comps.join(F.broadcast(known), "comp", "left").select(
+    placed = kept(comps.join(F.broadcast(known), "comp", "left").select(
         F.col("node").alias("uid"), "comp", F.coalesce(F.pmod(F.xxhash64("node"), F.col("packs")), F.lit(0).cast("long")).alias("pack"),
         F.coalesce(F.ceil(F.col("packs") / SUPER), F.lit(1)).cast("long").alias("supers"),
-    )
-    whole = placed.join(members.select("uid", "copies"), "uid").join(full.select("uid", "grams"), "uid")
+    ).join(members.select("uid", "copies"), "uid"), "jaccard-placed")
+    whole = full.select("uid", "grams").join(checked(placed, placed.count()), "uid")
     found = kept(exact(pack(whole), similarity), "jaccard-links")
     final = components(found.where("other IS NOT NULL").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
@@ -424,6 +447,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     joined = kept(joined, "jaccard-rows")
     least = joined.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("keeper"))
     least = kept(least, "jaccard-least")
+    released(sets, equal, members, placed, found, table)
     return joined.join(checked(least, least.count()), "class")
 
 
