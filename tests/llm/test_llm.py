@@ -296,6 +296,18 @@ def test_decontamination(spark, rows):
     assert not any(r.contaminated for r in decontam.find(df, items.limit(0)).collect())
 
 
+def test_decontamination_with_words_put_in_or_left_out(spark):
+    words = prose(70, 38).split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    cut = {n: words[:19] + prose(71, n).split() + words[19:] for n in (1, 3, 5, 10)}
+    docs = [(n, prose(72, 40) + " " + " ".join(cut[n]) + " " + prose(73, 40)) for n in cut]
+    docs += [(20 + n, " ".join(words[:17] + words[17 + n:])) for n in (3, 5)]
+    docs += [(30, " ".join(words[:19])), (31, " ".join(words[:19] + prose(74, 200).split() + words[19:])), (32, " ".join((words[:14] + ["x"]) * 9))]
+    got = {r.doc_id: r for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 3, 5, 10, 23, 25}
+    assert got[3].share == pytest.approx(24 / 31) and got[32].share == pytest.approx(7 / 31)
+
+
 def test_jaccard_join_equals_brute_force(spark, rows):
     rng, docs = random.Random(8), []
     for k in range(60):
