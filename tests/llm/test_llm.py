@@ -308,6 +308,24 @@ def test_decontamination_with_words_put_in_or_left_out(spark):
     assert got[3].share == pytest.approx(24 / 31) and got[32].share == pytest.approx(7 / 31)
 
 
+def test_decontamination_with_slots_that_disagree(spark):
+    texts = [
+        "The road is 60 km long and a car drives the next road of 60 km in the same time as before.",
+        "A box holds 3 red balls and 5 blue balls, and every child takes home one ball from this box.",
+        "Tom reads 12 pages every day before school and in the evening his sister asks Tom how many pages are left.",
+        "Ann has 4 pens, 4 cups.",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [
+        (1, texts[0].replace("of 60", "of 61")), (2, texts[0].replace("60", "70")), (3, texts[1].replace("3", "4").replace("5", "4")),
+        (4, "However " + texts[2].replace("12", "14")), (5, "However " + texts[2].replace("12", "14").replace("Tom", "Jim")),
+        (6, texts[3].replace("4 cups", "7 cups")), (7, texts[3].replace("4 pens", "6 pens").replace("4 cups", "7 cups")),
+    ]
+    got = {r.doc_id: r for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {i: tuple(r["items"]) for i, r in got.items()} == {1: (0,), 2: (0,), 3: (1,), 4: (2,), 5: (2,), 6: (3,), 7: ()}
+    assert got[1].share == got[3].share == got[5].share == 1.0
+
+
 def test_jaccard_join_equals_brute_force(spark, rows):
     rng, docs = random.Random(8), []
     for k in range(60):
