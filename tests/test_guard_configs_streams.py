@@ -21,6 +21,23 @@ def test_verdicts(spark):
     assert {r.event_id: r.category for r in allowed.collect()}[0] == "custom_policy"
 
 
+def test_payload_values_of_any_shape(spark):
+    inner = json.dumps({"command": "cat .env", "file_path": "a/.env"})
+    payloads = [
+        ({"args": ["rm", "-rf", "/", 1]}, ["-rf", "/", "rm", "rm -rf /"], []), ({"command": ["cat", ".env", None]}, [".env", "cat", "cat .env"], []),
+        ({"input": {"x": "cat .env"}}, ["cat .env"], []), ({"command": [["sudo", "x"], "a", {"y": ["b c", 2]}]}, ["a", "b c", "sudo", "sudo x", "x"], []),
+        ({"tool_input": inner}, ["cat .env"], ["a/.env"]), ({"toolArgs": inner, "n": 1}, ["cat .env"], ["a/.env"]), ({"toolInput": "[" + inner + "]"}, ["cat .env"], ["a/.env"]),
+        ({"outer": {"toolArgs": inner}}, [], []), ({"toolArgs": "not json", "command": 5, "x": "y"}, [], []), ([{"cmd": 'q "\\ \n]{'}], ['q "\\ \n]{'], []),
+        ({"paths": ["b", 1, {"z": {"z": "c"}}], "x": ["d"]}, [], ["b", "c"]), ({"args": {"command": "e"}, "z": {"cmd": "f"}}, ["e", "f"], []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, (p, *_) in enumerate(payloads)], "event_id int, payload string")
+    got = {r.event_id: (r.commands, r.paths) for r in guard.extract(df).collect()}
+    for i, (p, commands, paths) in enumerate(payloads):
+        assert (got[i][0], got[i][1]) == (commands, paths), p
+    found = {r.event_id: r.category for r in guard.verdicts(df).collect()}
+    assert found[0] == "destructive_filesystem" and found[1] == found[2] == "secret_dump_command" and found[4] is not None
+
+
 def test_audit_golden(spark):
     lines = [
         {"event": "blocked", "tool": "codex", "hook": "pre", "reason": "finding_threshold", "max_severity": "high", "rule_ids": ["a", "b", 1]},

@@ -95,25 +95,57 @@ def _any_wildcard(text: Column, patterns) -> Column:
 
 
 JSON_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+ENVELOPES = ("tool_input", "toolArgs", "toolInput")
+
+
+def _canonical(payload: Column) -> Column:
+    """JSON of a payload, in which top-level envelopes that hold an encoded object or array are decoded."""
+    def decoded(key: Column, value: Column) -> Column:
+        inner = F.try_parse_json(F.try_variant_get(value, "$", "string"))
+        wanted = key.isin(*ENVELOPES) & F.to_json(value).startswith('"') & F.to_json(inner).rlike(r"\A[\[{]")
+        return F.when(wanted, inner).otherwise(value)
+
+    text = F.to_json(payload)
+    fields = F.try_variant_get(payload, "$", "map<string,variant>")
+    encoded = text.rlike(rf'\A\{{.*"(?:{"|".join(ENVELOPES)})":"')
+    return F.when(encoded, F.coalesce(F.to_json(F.transform_values(fields, decoded)), text)).otherwise(text)
 
 
 def _strings(payload: Column, keys, joined: bool = True) -> Column:
     """Strings under the keys at any depth of the payload, in the order of its canonical JSON.
 
-    An array of strings counts by its items and, when ``joined``, as one command line. The canonical text has no
-    spaces, and a quote inside a string is escaped, so the pattern finds keys only and takes whole values.
+    All strings below an array or object count, of an array also, when ``joined``, those among its items as one
+    command line. The canonical text has no spaces, and a quote inside a string is escaped, so the tokens are whole
+    keys, whole strings and brackets. They are folded once: ``hit`` says that a listed key comes before the token,
+    ``open`` holds the strings of each container that is open below one.
     """
-    names = "|".join(dict.fromkeys(keys))
-    found = F.regexp_extract_all(
-        F.to_json(payload), F.lit(rf'(?<!\\)"(?:{names})":({JSON_TEXT}|\[(?:{JSON_TEXT},?)*+\])'), F.lit(1)
-    )
-
-    def items(value: Column) -> Column:
-        many = value.startswith("[")
-        texts = F.from_json(F.when(many, value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), "array<string>")
-        return let(texts, lambda a: F.when(many & F.lit(joined) & (F.size(a) > 0), F.concat(F.array(F.array_join(a, " ")), a)).otherwise(a))
-
-    return F.coalesce(F.flatten(F.transform(found, items)), F.array().cast("array<string>"))
+    text = _canonical(payload)
+    names = [f'"{k}":' for k in dict.fromkeys(keys)]
+    tokens = F.regexp_extract_all(text, F.lit(rf"{JSON_TEXT}:?|[\[\]{{}}]"), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def state(hit: Column, opened: Column, out: Column) -> Column:
+        return F.struct(hit.alias("hit"), opened.alias("open"), out.alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        inside, top = F.size(s.open) > 0, F.element_at(s.open, -1)
+        outer = F.slice(s.open, 1, F.size(s.open) - 1)
+        line = F.concat(F.lit('"'), F.array_join(F.transform(top, lambda x: F.substr(x, F.lit(2), F.length(x) - 2)), " "), F.lit('"'))
+        whole = F.lit(joined) & (t == "]") & (F.size(top) > 0)
+        return (
+            F.when(t.endswith('":'), state(~inside & t.isin(*names), s.open, s.out))
+            .when(~inside & ~s.hit, s)
+            .when(t.isin("[", "{"), state(F.lit(False), F.concat(s.open, F.array(none)), s.out))
+            .when(t.startswith('"') & ~inside, state(F.lit(False), s.open, F.concat(s.out, F.array(t))))
+            .when(~inside, state(F.lit(False), s.open, s.out))
+            .when(t.startswith('"'), state(F.lit(False), F.concat(outer, F.array(F.concat(top, F.array(t)))), F.concat(s.out, F.array(t))))
+            .otherwise(state(F.lit(False), outer, F.when(whole, F.concat(s.out, F.array(line))).otherwise(s.out)))
+        )
+
+    start = state(F.lit(False), F.array().cast("array<array<string>>"), none)
+    found = F.aggregate(tokens, start, step, lambda s: s.out)
+    parsed = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
+    return F.when(text.rlike("|".join(names)), F.coalesce(parsed, none)).otherwise(none)
 
 
 def extract(events: DataFrame, payload: str = "payload") -> DataFrame:
