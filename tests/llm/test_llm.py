@@ -377,6 +377,11 @@ def test_runs_reach_the_recall():
     assert jaccard.survival() > 0.66 and (1 - jaccard.survival()) ** jaccard.runs_for() <= 1 - jaccard.RECALL
 
 
+def test_jaccard_refuses_similarities_it_would_lose(rows):
+    with pytest.raises(ValueError, match="similarity"):
+        jaccard.join(rows, similarity=0.5)
+
+
 def junk(seed, n):
     return " ".join(w.upper() + "!!" for w in prose(seed, n).split())
 

@@ -409,8 +409,11 @@ def exact(packs: DataFrame, similarity: float) -> DataFrame:
 def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """uid, doc_id, class (uid of its first row), class_id (least doc_id of the class), n_links and n_copies.
 
-    ``rows`` has uid, doc_id and text, with uids that stay the same when it is read again.
+    ``rows`` has uid, doc_id and text, with uids that stay the same when it is read again. The runs, ``TIED``, ``TAKEN``
+    and the size filter are made for ``SIMILARITY``; pairs below it would be lost, so lower values are refused.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"similarity has to be at least {SIMILARITY}, not {similarity}")
     sets = kept(grams_of(rows, runs_for(recall), words), "jaccard-sets")
     full = sets.where("n > 0")
     equal = kept(full.groupBy("key").agg(F.min("uid").alias("member"), F.count("*").alias("copies")), "jaccard-equal")
