@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, cws, decontam, jaccard, language, licenses, pii, quality, sharding, token_files
+from . import bpe, cws, decontam, jaccard, language, licenses, pii, quality, resampling, sharding, token_files
 from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
@@ -71,3 +71,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op5_jaccard")
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op13_resampling")
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
