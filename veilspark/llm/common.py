@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "row"
+#: Of compressed files; in memory a table of numbers takes a few times as much.
+BROADCAST_BYTES = 4 << 20
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,3 +68,8 @@ def released(*frames: DataFrame) -> None:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's size, to decide on a broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def joinable(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table for a join: broadcast if its files are small, else left to a shuffle, which AQE splits where it is skewed."""
+    return F.broadcast(df) if plan_bytes(df) <= limit else df

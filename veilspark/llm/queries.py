@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, cws, decontam, jaccard, language, licenses, pii, quality, resampling, sharding, token_files
+from . import bpe, cws, decontam, jaccard, language, licenses, mixing, pii, quality, resampling, sharding, token_files
 from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
@@ -77,3 +77,8 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@REGISTRY.add("op12_mixing")
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
