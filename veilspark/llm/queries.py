@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
-from . import bpe, cws, decontam, jaccard, language, licenses, mixing, pii, quality, resampling, sharding, token_files
+from . import bpe, cws, decontam, jaccard, language, licenses, mixing, phrases, pii, quality, resampling, sharding, token_files
 from .common import id_crc, shared_folder
 
 REGISTRY = Registry({}, {})
@@ -82,3 +82,36 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op12_mixing")
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+worded AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+sized AS (SELECT lang, w, unnest([1, 2, 3]) AS k FROM worded),
+placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM placed GROUP BY ALL),
+total AS (SELECT lang, cast(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 10),
+cut AS (
+    SELECT *, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate)),
+rated AS (
+    SELECT c.lang, c.phrase, c.k, c.a, j, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS score
+    FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = rest),
+lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM candidate WHERE k = 3),
+hidden AS (SELECT DISTINCT c.lang, c.phrase FROM candidate c JOIN part p USING (lang, phrase) WHERE c.k = 2 AND 100 * longer >= 50 * c.a),
+placed_best AS (
+    SELECT l.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM lowest l ANTI JOIN hidden h USING (lang, phrase))
+SELECT b.lang, rank, phrase, a, l, r, t.n, cast(score AS BIGINT) AS score FROM placed_best b JOIN total t USING (lang) WHERE rank <= 2000
+"""
+
+
+@REGISTRY.add("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
