@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 ROW = "row"
 #: Of compressed files; in memory a table of numbers takes a few times as much.
 BROADCAST_BYTES = 4 << 20
+SLICE = 256
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,3 +74,9 @@ def plan_bytes(df: DataFrame) -> int:
 def joinable(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A written table for a join: broadcast if its files are small, else left to a shuffle, which AQE splits where it is skewed."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def slices(batches, rows: int = SLICE):
+    """Parts of Arrow batches, so that what a task makes of one stays small beside it."""
+    for batch in batches:
+        yield from (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))

@@ -6,15 +6,18 @@ token. Similar sets choose common tokens, so they meet. Small buckets are compar
 signatures. A bucket that stays large is compared with its first member, which takes out all that are very like it
 (whatever is similar to one of these is tied to the first member as well), and the rest goes one level down. With
 ``TOKENS`` = 2 a pair of similarity 0.8 survives each level with probability over 0.66, and ``runs_for`` gives the
-number of runs for the target recall. The first ``EARLY`` runs go through the same jobs together, then the others, which
-skip buckets whose sets are all tied already. What is left at the last level is taken as one candidate group.
+number of runs for the target recall. The first ``EARLY`` runs go through the same jobs together, then the others, with
+signatures of their own, which skip buckets whose sets are all tied already. What is left at the last level is taken as one candidate group.
 
-Candidates tie sets into groups, by minimum labels with pointer jumping. Each group is then compared exactly, all
+Candidates tie sets into groups, by minimum labels with pointer jumping over contracted edges: a set in many stars keeps one
+edge, so their number follows that of the sets. Each group is then compared exactly, all
 pairs of it, in packs: a pack is some sets compressed into one row, and pairs of packs go to tasks of their own, so a
 group of any size is spread, and what leaves a task is a count for each set and a forest of links, never all pairs.
 
 Equal sets are one class member from the start, so copies cost nothing beyond their first.
 
+A set that takes more than a block of a text is made block by block, and its temporaries are striped.
+
 Defined cases: a null text is empty; a text without words is similar to nothing, not even to another one; a text of
 fewer than five words is one gram; repeated rows are copies; null ids sort last in the choice of a class id.
 """
@@ -25,15 +28,17 @@ import hashlib
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, kept, packed, released, texts
+from .common import ROW, joinable, kept, packed, released, slices, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -43,16 +48,21 @@ TOKENS = 2.0
 LEVELS = 3
 SMALL = 64
 DRAWS = 32
-#: Of 32 draws, each one byte: a pair of similarity 0.8 has fewer than 15 alike 6.3 times in a million, in all runs alike.
+#: Of 32 draws, each one byte: a pair of similarity 0.8 has fewer than 15 alike 6.3 times in a million, early and late
+#: runs independently.
 TIED = 15
 #: A set similar to this one has TIED draws in common with the pivot if it has 20 in common with this one (all but 0.6 % at 0.8).
 TAKEN = 27
 PACK = 64
 SUPER = 8
 COLUMNS = 4_096
-BROADCAST_ROWS = 1_000_000
+PACK_BYTES = 512 << 10
+CONTRACTIONS = 3
+BLOCK_CHARS = 1 << 20
+BLOCK_WORDS = 1 << 16
+STRIPE = 1 << 14
 WORD = re.compile(r"\w+")
-CACHED = 300_000
+CACHED = 100_000
 
 
 def survival(levels: int = LEVELS, tokens: float = TOKENS, similarity: float = SIMILARITY) -> float:
@@ -77,39 +87,74 @@ def seeds(n: int, base: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(base))
 
 
+def word_blocks(text: str) -> Iterator[list[str]]:
+    """The words of a text, lowered; those of a long text in lists of ``BLOCK_WORDS``."""
+    text = text.lower()
+    if len(text) <= BLOCK_CHARS:
+        yield WORD.findall(text)
+        return
+    found = WORD.finditer(text)
+    while block := [m.group() for m in islice(found, BLOCK_WORDS)]:
+        yield block
+
+
 def gram_set(text: str, seen: dict[str, int], words: int = WORDS) -> np.ndarray:
     """Sorted distinct 32-bit hashes of the word n-grams of a text."""
-    found = WORD.findall(text.lower())
-    if not found:
-        return np.empty(0, np.uint32)
-    if len(seen) > CACHED:
-        seen.clear()
-    for w in set(found):
-        if w not in seen:
-            raw = w.encode()
-            seen[w] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)
-    h = mix(np.array([seen[w] for w in found], np.uint64))
-    n = max(1, len(h) - words + 1)
+    parts, before = [], np.empty(0, np.uint64)
+    for found in word_blocks(text):
+        if len(seen) > CACHED:
+            seen.clear()
+        for w in set(found):
+            if w not in seen:
+                raw = w.encode()
+                seen[w] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)
+        h = np.concatenate([before, mix(np.array([seen[w] for w in found], np.uint64))])
+        if len(h) >= words:
+            parts.append(folded(h, words))
+        before = h[max(0, len(h) - words + 1) :]
+    if not parts and before.size:
+        parts.append(folded(before, len(before)))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
+
+
+def folded(h: np.ndarray, words: int) -> np.ndarray:
+    """One 32-bit hash of each run of so many words."""
+    n = len(h) - words + 1
     out = np.zeros(n, np.uint64)
-    for k in range(min(words, len(h))):
+    for k in range(words):
         out = mix(out * np.uint64(0x100000001B3) + h[k : k + n])
-    return np.unique((out >> np.uint64(32)).astype(np.uint32))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
 
+def stripes(grams: np.ndarray) -> Iterator[np.ndarray]:
+    return (grams[low : low + STRIPE].astype(np.uint64) for low in range(0, len(grams), STRIPE))
 
-def signature(grams: np.ndarray) -> bytes:
-    """One byte of the least hash of each draw."""
-    least = mix(grams.astype(np.uint64)[:, None] ^ seeds(DRAWS, 11)[None, :]).min(axis=0)
-    return (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+def signatures(grams: np.ndarray) -> tuple[bytes, bytes]:
+    """Two signatures, for the early and the late runs: one byte of the least hash of each draw.
+
+    A draw of the one takes the high half of a 64-bit hash, of the other the low half, so the two are independent.
+    """
+    draws, half = seeds(DRAWS, 11)[None, :], np.uint64(32)
+    least = []
+    for part in stripes(grams):
+        h = mix(part[:, None] ^ draws)
+        least.append((h.min(axis=0) >> half, h.astype(np.uint32).min(axis=0).astype(np.uint64)))
+    return tuple((np.min([x[k] for x in least], axis=0) & np.uint64(255)).astype(np.uint8).tobytes() for k in (0, 1))
 
 
 def children(path: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """The buckets that a set enters below each of its nodes."""
-    if not grams.size:
+    if not grams.size or not path.size:
         return np.empty(0, np.int64)
     limit = np.uint64(min(2**64 - 1, int(TOKENS / grams.size * 2.0**64)))
-    h = mix(grams.astype(np.uint64)[None, :] ^ path.astype(np.uint64)[:, None])
-    node, token = np.nonzero(h <= limit)
-    return mix(h[node, token] + path[node].astype(np.uint64)).view(np.int64)
+    out = []
+    for part in stripes(grams):
+        for nodes in np.array_split(path.astype(np.uint64), -(-len(path) * len(part) // (1 << 20))):
+            h = mix(part[None, :] ^ nodes[:, None])
+            node, token = np.nonzero(h <= limit)
+            out.append(mix(h[node, token] + nodes[node]).view(np.int64))
+    return np.concatenate(out)
 
 
 def binary(values) -> pa.Array:
@@ -117,25 +162,26 @@ def binary(values) -> pa.Array:
 
 
 def grams_of(docs: DataFrame, runs: int, words: int) -> DataFrame:
-    """uid, doc_id, key of the set, its size, the set, its signature and its first buckets in early and late runs."""
+    """uid, doc_id, key of the set, its size, the set, its signatures and first buckets in early and late runs."""
     roots = seeds(runs, 23)
 
     def build(batches):
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             sets = [gram_set(t, seen, words) for t in batch["text"].to_pylist()]
             raw = [s.tobytes() for s in sets]
+            both = [signatures(x) if x.size else (b"", b"") for x in sets]
             keys = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             yield pa.RecordBatch.from_pydict({
                 "uid": batch["uid"], "doc_id": batch["doc_id"], "key": binary(keys), "n": pa.array([len(s) for s in sets], pa.int32()),
-                "grams": binary(raw), "sig": binary(signature(s) if s.size else b"" for s in sets),
+                "grams": binary(raw), "early_sig": binary(x for x, _ in both), "late_sig": binary(x for _, x in both),
                 "early": pa.array([children(roots[:EARLY], s).tolist() for s in sets], pa.list_(pa.int64())),
                 "late": pa.array([children(roots[EARLY:], s).tolist() for s in sets], pa.list_(pa.int64())),
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
-        build, f"uid long, doc_id {kind}, key binary, n int, grams binary, sig binary, early array<long>, late array<long>"
+        build, f"uid long, doc_id {kind}, key binary, n int, grams binary, early_sig binary, late_sig binary, early array<long>, late array<long>"
     )
 
 
@@ -210,11 +256,6 @@ def small_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path", "uid").mapInArrow(compare, "a long, b long")
 
 
-def checked(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a written table of known length if it is short; else leave the join to a shuffle, which AQE splits."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
-
 def against_pivot(rows: DataFrame) -> DataFrame:
     """uid, path, n, sig of rows with ``pivot`` and ``first``: ``tied`` and ``taken`` tell how like the first they are."""
 
@@ -233,7 +274,7 @@ def below(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The next level of rows that are in large buckets: a set is fetched once for all its nodes."""
 
     def choose(batches):
-        for batch in batches:
+        for batch in slices(batches):
             paths, uid = [], []
             for k, nodes in enumerate(batch["nodes"].to_pylist()):
                 found = children(np.array(nodes, np.int64).view(np.uint64), np.frombuffer(batch["grams"][k].as_buffer(), np.uint32))
@@ -244,27 +285,26 @@ def below(rows: DataFrame, sets: DataFrame) -> DataFrame:
             })
 
     nodes = kept(rows.groupBy("uid").agg(F.collect_set("path").alias("nodes")), "jaccard-nodes")
-    return sets.select("uid", "grams").join(checked(nodes, nodes.count()), "uid").mapInArrow(choose, "path long, uid long")
+    return sets.select("uid", "grams").join(joinable(nodes), "uid").mapInArrow(choose, "path long, uid long")
 
 
-def level_of(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def level_of(rows: DataFrame, light: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges among buckets of one level, and the rows that go on below.
 
-    ``rows`` has path, uid and comp. Buckets of one set, or of sets that are all tied already, are done; the counts of
+    ``rows`` has path, uid and comp, ``light`` uid, n and sig of all sets. Buckets of one set, or of sets that are all tied already, are done; the counts of
     the others decide which rows are fetched at all.
     """
     counts = kept(
         rows.groupBy("path").agg(F.count("*").alias("m"), F.min("uid").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         .where("m > 1 AND c0 != c1").select("path", "m", "first"), "jaccard-counts",
     )
-    open_rows = rows.select("path", "uid").join(checked(counts, counts.count()), "path")
-    light = members.select("uid", "n", "sig")
+    open_rows = rows.select("path", "uid").join(joinable(counts), "path")
     small = small_buckets(open_rows.where(F.col("m") <= SMALL).select("path", "uid").join(light, "uid"))
     firsts = kept(
         counts.where(F.col("m") > SMALL).select(F.col("first").alias("uid")).distinct().join(light, "uid")
         .select(F.col("uid").alias("first"), F.col("sig").alias("pivot")), "jaccard-pivots",
     )
-    large = open_rows.where(F.col("m") > SMALL).select("path", "uid", "first").join(light, "uid").join(checked(firsts, firsts.count()), "first")
+    large = open_rows.where(F.col("m") > SMALL).select("path", "uid", "first").join(light, "uid").join(joinable(firsts), "first")
     judged = kept(against_pivot(large.select("path", "uid", "n", "sig", "first", "pivot")), "jaccard-judged")
     tied = judged.where("tied AND uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct()
     return kept(small.unionByName(tied), "jaccard-found"), judged.where("NOT taken")
@@ -274,41 +314,56 @@ def candidates(members: DataFrame, sets: DataFrame, paths: str, comps: DataFrame
     """Edges a, b that tie sets which may be similar and are not tied by ``comps`` yet."""
     known = F.col("uid").alias("comp")
     if comps is not None:
-        members = members.join(checked(comps.withColumnRenamed("node", "uid"), comps.count()), "uid", "left")
+        members = members.join(joinable(comps.withColumnRenamed("node", "uid")), "uid", "left")
         known = F.coalesce("comp", "uid").alias("comp")
     own = members.select("uid", known)
+    light = members.select("uid", "n", F.col(f"{paths}_sig").alias("sig"))
     rows = members.select(F.explode(paths).alias("path"), "uid", known)
     found = []
     for level in range(LEVELS):
-        edges, left = level_of(rows, members)
+        edges, left = level_of(rows, light)
         found.append(edges)
         if left.isEmpty():
             break
         if level + 1 < LEVELS:
             lower = kept(below(left, sets), "jaccard-level")
-            rows = lower.join(checked(own, own.count()), "uid") if comps is not None else lower.withColumn("comp", F.col("uid"))
+            rows = lower.join(joinable(own), "uid") if comps is not None else lower.withColumn("comp", F.col("uid"))
         else:
             found.append(left.select(F.col("uid").alias("a"), F.col("first").alias("b")))
     return reduce(DataFrame.unionByName, found)
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges a > b with the same components: each node and its lesser neighbours are tied to the least of these.
+
+    A node in many stars keeps one edge of its own, and the stars' centres are tied to each other.
+    """
+    high, low = F.greatest("a", "b"), F.least("a", "b")
+    ordered = edges.where("a != b").select(high.alias("a"), low.alias("b")).distinct()
+    least = ordered.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    tied = least.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+    return tied.where("a != b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node of its component, for all nodes of the edges."""
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "jaccard-edges")
+    for _ in range(CONTRACTIONS):
+        edges = kept(contracted(edges), "jaccard-edges")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
         "node", F.least("node", "least").alias("comp")), "jaccard-labels")
-    n = labels.count()
-    while n:
-        side = checked(labels.select(F.col("node").alias("b"), F.col("comp").alias("theirs")), n)
+    while not labels.isEmpty():
+        side = joinable(labels.select(F.col("node").alias("b"), F.col("comp").alias("theirs")))
         least = both.join(side, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
         lower = labels.join(least, "node").select("node", "comp", F.least("comp", "theirs").alias("new"))
         lower = kept(lower, "jaccard-lower")
-        jump = checked(lower.select(F.col("node").alias("new"), F.col("new").alias("next")), n)
-        moved = kept(lower.join(jump, "new").select("node", F.col("comp").alias("old"), F.least("new", "next").alias("comp")), "jaccard-labels")
-        labels = moved.select("node", "comp")
+        jump = joinable(lower.select(F.col("node").alias("new"), F.col("new").alias("next")))
+        moved = kept(lower.join(jump, "new").select("node", F.col("comp").alias("old"), F.least("new", "next").alias("comp")), "jaccard-moved")
+        released(labels, lower)
+        labels = moved
         if moved.where("old != comp").isEmpty():
             break
-    return labels
+    return labels.select("node", "comp")
 
 
 def pack(rows: DataFrame) -> DataFrame:
@@ -418,7 +473,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     full = sets.where("n > 0")
     equal = kept(full.groupBy("key").agg(F.min("uid").alias("member"), F.count("*").alias("copies")), "jaccard-equal")
     members = kept(
-        full.select("uid", "key", "n", "sig", "early", "late").join(equal.select("key", F.col("member").alias("uid"), "copies"), ["key", "uid"]),
+        full.select("uid", "key", "n", "early_sig", "late_sig", "early", "late").join(equal.select("key", F.col("member").alias("uid"), "copies"), ["key", "uid"]),
         "jaccard-members",
     )
     # what the early runs tie is one node to the late ones, which skip buckets within it
@@ -426,13 +481,15 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     comps = components(tied)
     if runs_for(recall) > EARLY:
         comps = components(tied.unionByName(candidates(members, full, "late", comps)))
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("m")).withColumn("packs", F.ceil(F.col("m") / PACK).cast("long"))
-    known = sizes.where("packs > 1")
-    placed = kept(comps.join(F.broadcast(known), "comp", "left").select(
-        F.col("node").alias("uid"), "comp", F.coalesce(F.pmod(F.xxhash64("node"), F.col("packs")), F.lit(0).cast("long")).alias("pack"),
+    # one row a component with more than one pack of members or bytes
+    placed = comps.join(members.select(F.col("uid").alias("node"), "n", "copies"), "node")
+    sizes = placed.groupBy("comp").agg(F.greatest(F.count("*") / PACK, F.sum("n") * 4 / PACK_BYTES).alias("m"))
+    known = kept(sizes.select("comp", F.ceil("m").cast("long").alias("packs")).where("packs > 1"), "jaccard-sizes")
+    placed = kept(placed.join(joinable(known), "comp", "left").select(
+        F.col("node").alias("uid"), "copies", "comp", F.coalesce(F.pmod(F.xxhash64("node"), F.col("packs")), F.lit(0).cast("long")).alias("pack"),
         F.coalesce(F.ceil(F.col("packs") / SUPER), F.lit(1)).cast("long").alias("supers"),
-    ).join(members.select("uid", "copies"), "uid"), "jaccard-placed")
-    whole = full.select("uid", "grams").join(checked(placed, placed.count()), "uid")
+    ), "jaccard-placed")
+    whole = full.select("uid", "grams").join(joinable(placed), "uid")
     found = kept(exact(pack(whole), similarity), "jaccard-links")
     final = components(found.where("other IS NOT NULL").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
@@ -442,7 +499,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     light = sets.select("uid", "doc_id", "key", "n")
     # rows of one key share one small row of results; the aggregation below the join keeps copies out of one task
     table = kept(owned, "jaccard-classes")
-    joined = light.join(checked(table, table.count()), "key", "left").select(
+    joined = light.join(joinable(table), "key", "left").select(
         "uid", "doc_id", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("uid")).alias("class"),
         F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
@@ -451,7 +508,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     least = joined.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("keeper"))
     least = kept(least, "jaccard-least")
     released(sets, equal, members, placed, found, table)
-    return joined.join(checked(least, least.count()), "class")
+    return joined.join(joinable(least), "class")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -470,4 +527,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = numbered(packed(docs))
     found = classes(rows.select("uid", "doc_id", "text"))
     drop = kept(found.where("uid != keeper").select("uid"), "jaccard-drop")
-    return rows.join(checked(drop, drop.count()), "uid", "left_anti").select(f"{ROW}.*")
+    return rows.join(joinable(drop), "uid", "left_anti").select(f"{ROW}.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, id_crc, packed, texts
+from .common import id_crc, packed, ROW, slices, texts
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -32,7 +32,7 @@ BATCH = 256
 RATE = 0.05
 SHRINK = 1e-5
 MAX_ROWS = 8_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 #: Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence marks, 6 symbols, 7 beyond ASCII.
 CLASSES = np.zeros(256, np.uint8)
@@ -180,7 +180,7 @@ def scores(df: DataFrame, model: Machine, carry: str, schema: str) -> DataFrame:
     def score(batches):
         seen: dict[str, int] = {}
         own = Machine(bias, weight, factor)
-        for batch in batches:
+        for batch in slices(batches):
             got = [float(sigmoid(own.margin(*features(t, seen)))) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({name: batch[name] for name in names} | {"score": pa.array(got, pa.float64())})
 

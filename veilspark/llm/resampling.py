@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from .common import kept, released, texts
+from .common import kept, released, slices, texts
 from .ranks import ranked
 
 BUCKETS = 10_000
@@ -42,7 +42,6 @@ SEED = 42
 MIN_WORDS = 20
 PERCENT = 5
 BLOCK = 1 << 20
-SLICE = 256
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 
@@ -98,17 +97,15 @@ def bucketed(rows: DataFrame, what: str) -> DataFrame:
 
     def run(batches):
         split = splitter()
-        for batch in batches:
-            for low in range(0, batch.num_rows, SLICE):
-                part = batch.slice(low, SLICE)
-                counts, found = [], []
-                for text in part["text"].to_pylist():
-                    each = [*bucket_blocks(text, split)]
-                    counts.append(sum(n for n, _ in each))
-                    found.append(b"".join(b.tobytes() for _, b in each))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(counts, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_words", "buckets"]
-                )
+        for batch in slices(batches):
+            counts, found = [], []
+            for text in batch["text"].to_pylist():
+                each = [*bucket_blocks(text, split)]
+                counts.append(sum(n for n, _ in each))
+                found.append(b"".join(b.tobytes() for _, b in each))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_words", "buckets"]
+            )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return kept(rows.mapInArrow(run, f"doc_id {kind}, n_words long, buckets binary"), what)
