@@ -102,6 +102,63 @@ def test_pii_trees_add_what_strict_rules_miss(spark):
     assert all(got[k].spans.startswith("phone:15:") for k in range(60))
 
 
+def near_misses(rng):
+    """(kind, what a reader takes for personal data, a strict rule doesn't), and things that are none."""
+    d = lambda a, b: rng.randint(a, b)
+    card = [d(0, 9) for _ in range(15)]
+    while luhn("".join(map(str, card + [last := d(0, 9)]))):
+        pass
+    card = "".join(map(str, card + [last]))
+    name = rng.choice(["ana", "lee", "kim", "jo.day", "p_w", "max7"])
+    place = rng.choice(["mail.example", "corp-x.test", "a1.example.org"])
+    return [
+        ("email", name + rng.choice([" [at] ", "[at]", " (at) "]) + place), ("email", name + "[at]" + place.replace(".", "[dot]")),
+        ("ip", rng.choice(["[.]", "(.)"]).join(str(d(1, 254)) for _ in range(4))), ("card", card),
+        ("card", rng.choice("- ").join(card[k : k + 4] for k in (0, 4, 8, 12))), ("phone", f"({d(200, 999)}) {d(200, 999)}-{d(1000, 9999)}"),
+        ("phone", rng.choice(".- ").join(map(str, (d(200, 999), d(200, 999), d(1000, 9999))))),
+    ], [
+        f"on {d(1, 28):02}.{d(1, 12):02}.{d(1970, 2030)}", f"version {d(1, 9)}.{d(0, 99)}.{d(0, 99)}", f"total {d(1, 99)}.{d(100, 999)}.{d(100, 999)}",
+        f"task job@{rng.choice(['main', 'v2'])}", f"since {d(1970, 2030)}-{d(1, 12):02}-{d(1, 28):02}", f"we meet all [at] {d(1, 12)}",
+    ]
+
+
+def test_pii_finds_near_misses_of_each_kind(spark):
+    rng = random.Random(12)
+    docs = []
+    for k in range(240):
+        number = f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        digits = next(v for v in (str(rng.randint(10**15, 10**16 - 1)) for _ in iter(int, 1)) if luhn(v))
+        value = rng.choice([number, digits, ".".join(str(rng.randint(1, 254)) for _ in range(4)), f"{rng.choice('abc')}.{rng.randint(1, 99)}@mail{k}.example.com"])
+        docs.append((k, prose(k, 12) + f" {value} " + prose(k + 500, 8)))
+    planted, clean = {}, set()
+    for k in range(120):
+        misses, none = near_misses(rng)
+        for n, (kind, value) in enumerate(misses):
+            planted[1000 + 10 * k + n] = (kind, len(prose(k, 9)) + 1, len(prose(k, 9)) + 1 + len(value))
+            docs.append((1000 + 10 * k + n, prose(k, 9) + f" {value} " + prose(k, 4)))
+        for n, value in enumerate(none):
+            clean.add(9000 + 10 * k + n)
+            docs.append((9000 + 10 * k + n, prose(k, 9) + f" {value} " + prose(k, 4)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    detector = pii.fit(df)
+    assert set(detector.thresholds) == {0, 1, 2, 3}
+    hits, seen, added, right = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for r in pii.report(df, detector).collect():
+        base = {(n, a, b) for n, a, b in base_spans(dict(docs)[r.doc_id])} if r.doc_id < 1000 else set()
+        spans = {(n, int(a), int(b)) for n, a, b in (s.split(":") for s in r.spans.split(",") if s)}
+        assert base <= spans
+        for kind, low, high in spans - base:
+            added[kind] += 1
+            at = planted.get(r.doc_id)
+            right[kind] += bool(at and at[0] == kind and low < at[2] and at[1] < high)
+        if r.doc_id in planted:
+            kind, low, high = planted[r.doc_id]
+            seen[kind] += 1
+            hits[kind] += any(n == kind and a < high and low < b for n, a, b in spans)
+    assert all(hits[k] >= 0.8 * seen[k] for k in pii.KINDS), (hits, seen)
+    assert all(right[k] >= 0.95 * added[k] for k in pii.KINDS), (right, added)
+
+
 def test_pii_redacts_and_keeps_columns(spark, rows, plain):
     out = pii.redact(rows)
     assert out.columns == rows.columns and out.schema["n_chars"].dataType == rows.schema["n_chars"].dataType
