@@ -1,4 +1,8 @@
 import json
+import time
+import random
+
+from pyspark.sql import functions as F
 
 from veilspark.operators import audit, configs, guard, scan
 from veilspark.policy import Policy
@@ -125,3 +129,60 @@ def test_server_entries_are_read_one_by_one(spark):
     got = {r.server: (r.transport, r.command, list(r.args), r.env) for r in configs.servers(df).collect()}
     assert got == {"ok": ("stdio", "npx", ["-y", "p"], {"A": "x"}), "b": ("unknown", None, [], None), "c": ("http", None, [], None), "d": ("unknown", None, [], None)}
     assert configs.unreadable(df).count() == 0
+
+
+def strings_under(value, keys):
+    """All strings below the keys, and the strings of each array there as one line."""
+    out = set()
+
+    def push(x):
+        if isinstance(x, str):
+            out.add(x)
+        elif isinstance(x, list):
+            if any(isinstance(i, str) for i in x):
+                out.add(" ".join(i for i in x if isinstance(i, str)))
+            for i in x:
+                push(i)
+        elif isinstance(x, dict):
+            for i in x.values():
+                push(i)
+
+    def walk(x):
+        for k, y in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+            if k in keys:
+                push(y)
+            walk(y)
+
+    walk(value)
+    return sorted(out)
+
+
+def test_random_payloads_equal_a_walk(spark):
+    rng = random.Random(3)
+
+    def make(depth=0):
+        kind = rng.random()
+        if depth > 4 or kind < 0.35:
+            return rng.choice(["a b", 'x"y', "[z]", "{q", "", "é\\", 1, None, True, "cat .env", 2.5, "command"])
+        if kind < 0.65:
+            return [make(depth + 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice(["command", "args", "input", "zz", "path", "cmd:", 'a"b']): make(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    payloads = [{"x": make(), "command": make()} for _ in range(150)] + [[make()] for _ in range(50)]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "event_id int, payload string").repartition(4)
+    got = {r.event_id: list(r.commands) for r in guard.extract(df).collect()}
+    keys = {*guard.COMMAND_KEYS, *guard.GENERIC_KEYS}
+    assert got == {i: strings_under(p, keys) for i, p in enumerate(payloads)}
+
+
+def test_payloads_with_very_many_strings(spark):
+    def seconds(n):
+        payload = json.dumps({"a": 1, "command": [f"word{k}" for k in range(n)], "z": {"args": [["p", "q"]] * 10}})
+        rows = guard.extract(spark.createDataFrame([(1, payload)], "event_id int, payload string")).select(F.size("commands").alias("n"))
+        began = time.time()
+        assert rows.first()["n"] == n + 4
+        return time.time() - began
+
+    seconds(10)
+    # time grows in proportion: sixteen times the strings may not take a hundred times as long
+    assert seconds(128_000) < 100 * max(seconds(8_000), 0.05)

@@ -65,6 +65,23 @@ def sums_before(values: Column, name: str) -> Column:
     return F.expr(sums_before_sql(name))
 
 
+def sums_before_of(values: Column) -> Column:
+    """The same for any array of whole numbers, as a column, so that it can be used inside other lambdas."""
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    def body(v: Column) -> Column:
+        last = ((F.size(v) - 1) / BLOCK).cast("int")
+        blocks = F.when(F.size(v) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(blocks, lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+        heads = let(sums, lambda s: F.transform(s, lambda x, b: fold(F.slice(s, F.lit(1), b))))
+        return let(heads, lambda h: F.transform(
+            v, lambda x, i: F.get(h, (i / BLOCK).cast("int")) + fold(F.slice(v, i - i % BLOCK + 1, i % BLOCK))
+        ))
+
+    return let(values, body)
+
+
 def first_by(values: Column, key: Callable[[Column], Column], order: Callable[[Column], Column]) -> Column:
     """Keep, for each key, the element that comes first by ``order``."""
     keyed = F.array_sort(F.transform(values, lambda x: F.struct(key(x).alias("k"), order(x).alias("o"), x.alias("x"))))

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import let, sums_before_of
 from ..policy import Policy
 
 # --- fixed values: where payloads keep commands and paths ---------------------------
@@ -116,34 +116,73 @@ def _strings(payload: Column, keys, joined: bool = True) -> Column:
 
     All strings below an array or object count, of an array also, when ``joined``, those among its items as one
     command line. The canonical text has no spaces, and a quote inside a string is escaped, so the tokens are whole
-    keys, whole strings and brackets. They are folded once: ``hit`` says that a listed key comes before the token,
-    ``open`` holds the strings of each container that is open below one.
+    keys, whole strings and brackets.
+
+    Running totals of the brackets give each token its depth. Sorted by depth and place, the tokens of one depth are
+    containers one after the other, each an opening bracket, the strings directly in it and its closing bracket: so
+    every second bracket closes the one before it. A container under a listed key adds one where it opens and takes it
+    back where it closes; a string counts where this total is above zero or a listed key comes right before it. Each
+    step is a pass or a sort, so long payloads cost in proportion to their length.
     """
     text = _canonical(payload)
     names = [f'"{k}":' for k in dict.fromkeys(keys)]
+    opened, closed = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
+    none, still = F.array().cast("array<string>"), F.lit(0).cast("bigint")
+
+    def step(t: Column) -> Column:
+        return F.when(t.isin("[", "{"), opened).when(t.isin("]", "}"), closed).otherwise(still)
+
+    def placed(t: Column, depth: Column) -> Column:
+        """Strings and brackets with their depth, sorted by it."""
+        def item(x: Column, i: Column) -> Column:
+            d = step(x)
+            return F.struct(
+                (F.get(depth, i) + F.greatest(d, still)).alias("depth"), i.alias("i"), d.alias("step"),
+                ((i > 0) & (d >= 0) & F.get(t, i - 1).isin(*names)).alias("hit"), x.alias("x"),
+            )
+
+        return F.sort_array(F.filter(F.transform(t, item), lambda e: ~e["x"].endswith('":')))
+
+    def containers(e: Column) -> Column:
+        """Each with its places in the text and in ``e``."""
+        spots = F.transform(e, lambda x, p: F.struct(p.alias("p"), x["i"].alias("i"), x["step"].alias("step"), x["hit"].alias("hit"), x["x"].alias("x")))
+
+        def paired(b: Column) -> Column:
+            both = F.transform(b, lambda x, m: F.struct(x.alias("o"), F.get(b, m + 1).alias("c")))
+            return F.filter(both, lambda z: z["o"]["step"] > 0)
+
+        return let(F.filter(spots, lambda x: x["step"] != 0), paired)
+
+    def event(i: Column, turn: int, step: Column, hit: Column, value: Column) -> Column:
+        return F.struct(i.alias("i"), F.lit(turn).alias("turn"), step.alias("step"), hit.alias("hit"), value.alias("value"))
+
+    def line(e: Column, z: Column) -> Column:
+        inner = F.slice(e, z["o"]["p"] + 2, z["c"]["p"] - z["o"]["p"] - 1)
+        return F.concat(F.lit('"'), F.array_join(F.transform(inner, lambda s: F.substr(s["x"], F.lit(2), F.length(s["x"]) - 2)), " "), F.lit('"'))
+
+    def events(e: Column) -> Column:
+        def of(pairs: Column) -> Column:
+            hits = F.filter(pairs, lambda z: z["o"]["hit"])
+            no, null = F.lit(False), F.lit(None).cast("string")
+            marks = [
+                F.transform(hits, lambda z: event(z["o"]["i"], 1, opened, no, null)), F.transform(hits, lambda z: event(z["c"]["i"], 1, closed, no, null)),
+                F.transform(F.filter(e, lambda x: x["step"] == 0), lambda x: event(x["i"], 0, still, x["hit"], x["x"])),
+            ]
+            if joined:
+                arrays = F.filter(pairs, lambda z: (z["o"]["x"] == "[") & (z["c"]["p"] > z["o"]["p"] + 1))
+                marks.append(F.transform(arrays, lambda z: event(z["c"]["i"], 0, still, no, line(e, z))))
+            return F.sort_array(F.concat(*marks))
+
+        return let(containers(e), of)
+
+    def counted(v: Column) -> Column:
+        total = sums_before_of(F.transform(v, lambda x: x["step"]))
+        return let(total, lambda n: F.transform(
+            F.filter(F.transform(v, lambda x, j: F.struct(x["value"].alias("value"), (x["hit"] | (F.get(n, j) > 0)).alias("able"))),
+                     lambda x: x["able"] & x["value"].isNotNull()), lambda x: x["value"]))
+
     tokens = F.regexp_extract_all(text, F.lit(rf"{JSON_TEXT}:?|[\[\]{{}}]"), F.lit(0))
-    none = F.array().cast("array<string>")
-
-    def state(hit: Column, opened: Column, out: Column) -> Column:
-        return F.struct(hit.alias("hit"), opened.alias("open"), out.alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        inside, top = F.size(s.open) > 0, F.element_at(s.open, -1)
-        outer = F.slice(s.open, 1, F.size(s.open) - 1)
-        line = F.concat(F.lit('"'), F.array_join(F.transform(top, lambda x: F.substr(x, F.lit(2), F.length(x) - 2)), " "), F.lit('"'))
-        whole = F.lit(joined) & (t == "]") & (F.size(top) > 0)
-        return (
-            F.when(t.endswith('":'), state(~inside & t.isin(*names), s.open, s.out))
-            .when(~inside & ~s.hit, s)
-            .when(t.isin("[", "{"), state(F.lit(False), F.concat(s.open, F.array(none)), s.out))
-            .when(t.startswith('"') & ~inside, state(F.lit(False), s.open, F.concat(s.out, F.array(t))))
-            .when(~inside, state(F.lit(False), s.open, s.out))
-            .when(t.startswith('"'), state(F.lit(False), F.concat(outer, F.array(F.concat(top, F.array(t)))), F.concat(s.out, F.array(t))))
-            .otherwise(state(F.lit(False), outer, F.when(whole, F.concat(s.out, F.array(line))).otherwise(s.out)))
-        )
-
-    start = state(F.lit(False), F.array().cast("array<array<string>>"), none)
-    found = F.aggregate(tokens, start, step, lambda s: s.out)
+    found = let(tokens, lambda t: let(sums_before_of(F.transform(t, step)), lambda depth: let(placed(t, depth), lambda e: let(events(e), counted))))
     parsed = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
     return F.when(text.rlike("|".join(names)), F.coalesce(parsed, none)).otherwise(none)
 
