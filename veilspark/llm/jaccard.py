@@ -288,11 +288,11 @@ def below(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.select("uid", "grams").join(joinable(nodes), "uid").mapInArrow(choose, "path long, uid long")
 
 
-def level_of(rows: DataFrame, light: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges among buckets of one level, and the rows that go on below.
+def level_of(rows: DataFrame, light: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Edges among buckets of one level, and the rows that go on below, of which the last level has none.
 
-    ``rows`` has path, uid and comp, ``light`` uid, n and sig of all sets. Buckets of one set, or of sets that are all tied already, are done; the counts of
-    the others decide which rows are fetched at all.
+    ``rows`` has path, uid and comp, ``light`` uid, n and sig of all sets. Buckets of one set, or of sets that are all tied
+    already, are done; the counts of the others decide which rows are fetched at all.
     """
     counts = kept(
         rows.groupBy("path").agg(F.count("*").alias("m"), F.min("uid").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
@@ -300,11 +300,15 @@ def level_of(rows: DataFrame, light: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     open_rows = rows.select("path", "uid").join(joinable(counts), "path")
     small = small_buckets(open_rows.where(F.col("m") <= SMALL).select("path", "uid").join(light, "uid"))
+    large = open_rows.where(F.col("m") > SMALL)
+    if last:
+        whole = large.where("uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
+        return kept(small.unionByName(whole.distinct()), "jaccard-found"), None
     firsts = kept(
         counts.where(F.col("m") > SMALL).select(F.col("first").alias("uid")).distinct().join(light, "uid")
         .select(F.col("uid").alias("first"), F.col("sig").alias("pivot")), "jaccard-pivots",
     )
-    large = open_rows.where(F.col("m") > SMALL).select("path", "uid", "first").join(light, "uid").join(joinable(firsts), "first")
+    large = large.select("path", "uid", "first").join(light, "uid").join(joinable(firsts), "first")
     judged = kept(against_pivot(large.select("path", "uid", "n", "sig", "first", "pivot")), "jaccard-judged")
     tied = judged.where("tied AND uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct()
     return kept(small.unionByName(tied), "jaccard-found"), judged.where("NOT taken")
@@ -321,15 +325,12 @@ def candidates(members: DataFrame, sets: DataFrame, paths: str, comps: DataFrame
     rows = members.select(F.explode(paths).alias("path"), "uid", known)
     found = []
     for level in range(LEVELS):
-        edges, left = level_of(rows, light)
+        edges, left = level_of(rows, light, level + 1 == LEVELS)
         found.append(edges)
-        if left.isEmpty():
+        if left is None or left.isEmpty():
             break
-        if level + 1 < LEVELS:
-            lower = kept(below(left, sets), "jaccard-level")
-            rows = lower.join(joinable(own), "uid") if comps is not None else lower.withColumn("comp", F.col("uid"))
-        else:
-            found.append(left.select(F.col("uid").alias("a"), F.col("first").alias("b")))
+        lower = kept(below(left, sets), "jaccard-level")
+        rows = lower.join(joinable(own), "uid") if comps is not None else lower.withColumn("comp", F.col("uid"))
     return reduce(DataFrame.unionByName, found)
 
 
