@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import hmac
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from veilspark.functions import normalize as norm
 from veilspark.functions.hashing import KeyMaterial
 from veilspark.operators import pseudonymize as psd
 from veilspark.operators.pseudonymize import ResolvedColumn
+from veilspark.rules.table import builtin
 
 KEY = KeyMaterial(bytes([0x33]) * 32, bytes([0x44]) * 32)
 
@@ -118,3 +121,24 @@ def test_text_restores_whole_tokens_only(docs):
 def test_merged_rows_are_refused(spark):
     df = spark.createDataFrame([(1, "ok\nnote"), (2, 'bad "\nrow'), (3, "a\nb,c")], "id int, note string")
     assert {r.id for r in psd.check_merged(df, []).collect()} == {2, 3}
+
+
+def test_nfkc_equals_the_standard(spark):
+    """All assigned code points, and sequences that need canonical order and composition; also inside an array."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    wide = [c for c in points if unicodedata.normalize("NFKD", chr(c)) != chr(c) or unicodedata.combining(chr(c))]
+    rng = random.Random(1)
+    texts = [chr(c) for c in points if c in set(wide) or c % 97 == 0 or c < 0x3000]
+    texts += ["".join(chr(rng.choice(wide)) if rng.random() < 0.7 else rng.choice("aegｶﾞﾎﾟ각 ") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    df = spark.createDataFrame(list(enumerate([*texts, ""])), "k int, s string").repartition(8)
+    got = df.select("s", norm.nfkc(F.col("s")).alias("n"), F.transform(F.array("s", F.lit("ｶﾞ")), norm.nfkc).alias("a")).collect()
+    assert all(r["n"] == r["a"][0] == unicodedata.normalize("NFKC", r["s"]) and r["a"][1] == "ガ" for r in got)
+    assert spark.createDataFrame([(None,)], "s string").select(norm.nfkc(F.col("s"))).first()[0] is None
+
+
+def test_texts_and_tables_give_equal_tokens(spark):
+    name = [r for r in builtin() if r.rule_id == "pii.ja.name"]
+    half, full = "ﾔﾏﾀ", "ヤマタ"
+    text = psd.pseudonymize_text(spark.createDataFrame([(f"氏名: {half}",)], "text string"), KEY, rules=name).first()["text"]
+    table = psd.pseudonymize_table(spark.createDataFrame([(full,)], "n string"), [ResolvedColumn(1, "n", "name", "chosen")], KEY).first()["n"]
+    assert text == f"氏名: {table}"

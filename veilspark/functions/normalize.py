@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,38 +20,25 @@ PHONE_HEADERS = (
 ).split()
 
 
-def _nfkc_udf():
-    """Unicode normalization has no Spark function; only non-ASCII rows carry a value here."""
+NORMALIZER = "com.ibm.icu.text.Normalizer"
 
-    @F.pandas_udf("string")
-    def nfkc(values: pd.Series) -> pd.Series:
-        import unicodedata
 
-        return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def nfkc(text: Column) -> Column:
+    """Unicode normalization form KC, by the library that Spark's collations use; ASCII values are left as they are.
 
-    return nfkc
-
-
-def compat_fold(text: Column) -> Column:
-    """Full-width ASCII forms to ASCII, for places where a Python function cannot run."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(text, wide, "".join(chr(c) for c in range(0x21, 0x7F)) + " ")
+    It runs in the JVM, so it can stand in a lambda over an array as well.
+    """
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide, F.reflect(F.lit(NORMALIZER), F.lit("compose"), text, F.lit(True))).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), r"\A | \z", "")
 
 
-def normalize_common(text: Column, unicode: str = "exact") -> Column:
-    """NFKC, white space collapsed and trimmed.
-
-    ``unicode="exact"`` sends non-ASCII values through a vectorized Python
-    function, ASCII values as nulls; ``"fold"`` stays in Spark expressions.
-    """
-    if unicode == "fold":
-        return collapse(compat_fold(text))
-    wide = F.octet_length(text) != F.length(text)
-    return collapse(F.coalesce(_nfkc_udf()(F.when(wide, text)), text))
+def normalize_common(text: Column) -> Column:
+    """NFKC, white space collapsed and trimmed."""
+    return collapse(nfkc(text))
 
 
 def is_missing(common: Column) -> Column:

@@ -78,7 +78,7 @@ def column_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cells = df.select(F.explode(F.array(*(
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in columns
     ))).alias("x")).select("x.column", "x.cell")
-    common = norm.normalize_common(F.col("cell"), "fold")
+    common = norm.normalize_common(F.col("cell"))
     kinds = cells.where(F.col("cell").isNotNull() & ~norm.is_missing(common)).select(
         "column", cell_kind(F.col("cell")).alias("kind"))
     return kinds.groupBy("column").agg(
@@ -155,11 +155,11 @@ def infer_header(first_row: DataFrame) -> bool:
 
 
 def cell_states(df: DataFrame, columns: list[ResolvedColumn], material: KeyMaterial, *, bits: int = 64,
-                strip_subaddress: bool = False, unicode: str = "exact") -> DataFrame:
+                strip_subaddress: bool = False) -> DataFrame:
     """Add per selected column ``__new_i`` (replacement) and ``__state_i`` (kept, unparsed, token)."""
     hashing.check_token_bits(bits)
     common = df.select("*", *(
-        norm.normalize_common(F.col(c.name).cast("string"), unicode).alias(f"__c_{c.index}") for c in columns
+        norm.normalize_common(F.col(c.name).cast("string")).alias(f"__c_{c.index}") for c in columns
     ))
     valued = common.select("*", *(
         norm.normalize_kind(c.kind, F.col(f"__c_{c.index}"), strip_subaddress).alias(f"__v_{c.index}") for c in columns
@@ -399,7 +399,7 @@ def _replacement(text: Column, rule_id: Column, kinds: Mapping[str, str], materi
 
                     return let(norm.normalize_kind(kind, common, strip), made)
 
-                return let(norm.normalize_common(value, "fold"), cell)
+                return let(norm.normalize_common(value), cell)
 
             return let(tail, of_tail)
 

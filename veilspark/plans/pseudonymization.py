@@ -109,16 +109,27 @@ for _key in ("psd_restore_table", "join_table_restore"):
     REGISTRY.put(_key, _restored, f"SELECT * FROM ({for_oracle(PEOPLE)})")
 
 
-@REGISTRY.add("psd_linkage", f"""WITH {BASE}, t AS (SELECT id, {E} AS v FROM people) SELECT a.id AS left_id, count(*) AS links
-FROM t a JOIN t b ON a.v = b.v GROUP BY a.id""")
+# names of three letters, in a table at full width and in texts at half width
+_KANA = "translate(lpad(cast(id % 500 as string), 3, '0'), '0123456789', '{0}')"
+FULL, HALF = "アイウエオカキクケコ", "ｱｲｳｴｵｶｷｸｹｺ"
+_NAMED = f"SELECT id, email, {_KANA.format(FULL)} AS kana, concat('x', chr(10), '氏名: ', {_KANA.format(HALF)}, chr(10), note) AS text FROM ({PEOPLE})"
+
+
+@REGISTRY.add("psd_linkage", f"""WITH {BASE}, t AS (SELECT id, {E} AS v, id % 500 AS k FROM people),
+mails AS (SELECT v, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v), names AS (SELECT k, count(*) AS n FROM t GROUP BY k)
+SELECT id AS left_id, coalesce(mails.n, 0) AS links, names.n AS text_links FROM t LEFT JOIN mails USING (v) JOIN names USING (k)""")
 def psd_linkage(spark, sf_dir):
-    """Two tables pseudonymized apart still join on their tokens."""
-    rows = people(spark, sf_dir)
-    token = lambda d: psd.pseudonymize_table(d, COLUMNS[:1], KEY).where(F.col("email").startswith("email_"))
-    left = token(rows).select(F.col("id").alias("left_id"), "email")
+    """Tables and texts pseudonymized apart still join on their tokens."""
+    rows = derived(spark, sf_dir, _NAMED)
+    mails = psd.pseudonymize_table(rows.select("id", "email"), [ResolvedColumn(1, "email", "email", "chosen")], KEY)
+    names = psd.pseudonymize_table(rows.select("id", "kana"), [ResolvedColumn(1, "kana", "name", "chosen")], KEY)
     # counted per token first, so a frequent value is not paired row by row
-    right = token(rows).groupBy("email").agg(F.count(F.lit(1)).alias("links"))
-    return left.join(right, "email").select("left_id", "links")
+    by_mail = mails.where(F.col("email").startswith("email_")).groupBy("email").agg(F.count(F.lit(1)).alias("links"))
+    by_name = names.groupBy(F.col("kana").alias("token")).agg(F.count(F.lit(1)).alias("text_links"))
+    texts = psd.pseudonymize_text(rows.select("id", "text"), KEY, rules=[r for r in builtin() if r.rule_id == "pii.ja.name"])
+    told = texts.select("id", F.regexp_extract("text", r"氏名: (name_\w+)\n", 1).alias("token"))
+    linked = mails.join(by_mail, "email", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"))
+    return linked.join(told.join(by_name, "token"), "id").select(F.col("id").alias("left_id"), "links", "text_links")
 
 
 _RATES = """SELECT email, phone, note FROM {customer_view}""".replace("{customer_view}", f"({PEOPLE})")
@@ -179,14 +190,14 @@ def fn_missing(spark, sf_dir):
 
 @REGISTRY.add("fn_normalize_email", f"WITH {BASE} SELECT id, {E} AS value, regexp_replace({E}, '[+][^@]*@', '@') AS stripped FROM people")
 def fn_normalize_email(spark, sf_dir):
-    common = norm.normalize_common(F.col("email"), "fold")
+    common = norm.normalize_common(F.col("email"))
     return people(spark, sf_dir).select(
         "id", norm.normalize_email(common).alias("value"), norm.normalize_email(common, True).alias("stripped"))
 
 
 @REGISTRY.add("fn_normalize_phone", f"WITH {BASE} SELECT id, {P} AS value FROM people")
 def fn_normalize_phone(spark, sf_dir):
-    return people(spark, sf_dir).select("id", norm.normalize_phone(norm.normalize_common(F.col("phone"), "fold")).alias("value"))
+    return people(spark, sf_dir).select("id", norm.normalize_phone(norm.normalize_common(F.col("phone"))).alias("value"))
 
 
 @REGISTRY.add("fn_token", "SELECT c_custkey AS id, " + ", ".join(
