@@ -127,9 +127,9 @@ def test_allowlist_expression_and_join_agree(docs, spark):
     today = date(2026, 1, 1)
     direct = {(r.file, r.value) for r in found(df, policy=policy, today=today)}
     each = detect.matches(df, carry=["doc_id"])
-    joined = suppress.allowlist_join(each, suppress.allowlist_table(spark, entries, today), size=3)
+    joined = suppress.allowlist_join(each, suppress.allowlist_table(spark, entries, today))
     assert direct == {(r.file, r.value) for r in joined.collect()} == {("src/a.txt", "10.0.0.1"), ("x.txt", "c@b.io")}
-    refused = suppress.allowlist_join(each, suppress.allowlist_table(spark, entries, today), kept=False, size=3)
+    refused = suppress.allowlist_join(each, suppress.allowlist_table(spark, entries, today), kept=False)
     assert refused.count() + joined.count() == each.count()
 
 

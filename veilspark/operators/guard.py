@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, sums_before_of
 from ..policy import Policy
+from .patterns import any_regex, few, matches, star_anchor
 
 # --- fixed values: where payloads keep commands and paths ---------------------------
 COMMAND_KEYS = ("command", "shell_command", "cmd", "CommandLine", "command_line")
@@ -395,18 +396,18 @@ def listed(action: Column, patterns) -> Column:
 
 
 def join_policy(actions: DataFrame, patterns: DataFrame, *, action: str = "action", kept: bool = True) -> DataFrame:
-    """Actions that a table of patterns covers, or does not.
-
-    Pattern tables are written by hand; the size is checked before the broadcast.
-    """
-    small = patterns.select(F.col("pattern").alias("__pattern")).limit(10_001)
-    if small.count() > 10_000:
-        raise ValueError("too many action patterns")
-    regex = F.concat(F.lit(r"\A(?s:\Q"), F.replace(action_text(F.col("__pattern")), F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E)\z"))
-    return actions.join(
-        F.broadcast(small.select(regex.alias("__re"))), F.rlike(action_text(F.col(action)), F.col("__re")),
-        "left_semi" if kept else "left_anti",
-    )
+    """Actions that a table of patterns covers, or does not; both may be of any length."""
+    form = patterns.select(action_text(F.col("pattern")).alias("form"))
+    regex = F.concat(F.lit(r"\A(?s:\Q"), F.replace(F.col("form"), F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E)\z"))
+    table = form.select(regex.alias("re"), star_anchor(F.col("form")).alias("anchor"))
+    formed = actions.withColumn("__text", action_text(F.col(action)))
+    short = few(table.select("re").distinct())
+    if short is not None:
+        covered = any_regex(F.col("__text"), [r["re"] for r in short])
+        return formed.where(covered if kept else ~covered).drop("__text")
+    covered = matches(formed.select(F.col("__text").alias("text")), table, pattern="re", anchor="anchor")
+    hit = covered.select(F.col("text").alias("__text")).distinct()
+    return formed.join(hit, "__text", "left_semi" if kept else "left_anti").drop("__text")
 
 
 def verdicts(events: DataFrame, policy: Policy = Policy(), payload: str = "payload") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ from ..functions import paths as path_fn
 from ..functions.arrays import let
 from ..functions.validators import SPACE
 from ..policy import AllowEntry
+from .patterns import any_regex, few, glob_anchor, matches
 
 DIRECTIVE = "struct<line:int,rule:string>"
 EVERY_PATH = ("**", "**/*", "*", "**/**")
-BROADCAST_LIMIT = 200_000
 
 
 def _directive(line: Column, number: Column, keyword: str) -> Column:
@@ -120,49 +121,52 @@ def allowlisted(path: Column, rule_id: Column, value_hash: Column, entries, toda
     return out
 
 
-ALLOW_SCHEMA = "rule_id string, path_re string, value_hash string"
+ALLOW_SCHEMA = "rule_id string, path_re string, anchor string, value_hash string"
 
 
 def allowlist_table(spark, entries, today: date | None = None) -> DataFrame:
     """Entries in force as a table for ``allowlist_join``."""
     rows = [
-        (e.rule_id, path_fn.glob_to_regex(e.path), e.value_hash.strip().lower() if e.value_hash else None)
+        (e.rule_id, path_fn.glob_to_regex(e.path), glob_anchor(e.path), e.value_hash.strip().lower() if e.value_hash else None)
         for e in _in_force(entries, today)
     ]
     return spark.createDataFrame(rows, ALLOW_SCHEMA)
 
 
-def allowlist_join(findings: DataFrame, allow: DataFrame, *, kept: bool = True, size: int | None = None) -> DataFrame:
+def allowlist_join(findings: DataFrame, allow: DataFrame, *, kept: bool = True) -> DataFrame:
     """Findings that an allowlist table does not accept (or, inverted, does).
 
-    Hash entries join on equality and may be many; ``size`` is the number of
-    allowlist rows when known and decides whether they are broadcast. Entries
-    without a hash need a pattern test against each finding; they are written by
-    hand, so they are few, and the broadcast is refused when they are not.
+    Entries with a hash join on it. Entries without are matched with the different paths of the findings, by the
+    index of ``patterns``, and findings join the accepted paths and rules. Both kinds may be many.
     """
     by_hash = allow.where("value_hash IS NOT NULL")
-    by_path = allow.where("value_hash IS NULL").drop("value_hash")
-    if size is None or size > BROADCAST_LIMIT:
-        few = by_path.limit(BROADCAST_LIMIT + 1).count()
-        if few > BROADCAST_LIMIT:
-            raise ValueError("too many path entries; give them value hashes or merge their globs")
-    else:
-        by_hash = F.broadcast(by_hash)
-    f, h, p = findings.alias("f"), by_hash.alias("h"), F.broadcast(by_path).alias("p")
+    by_path = allow.where("value_hash IS NULL").select("rule_id", "path_re", "anchor").distinct()
+    f, h = findings.alias("f"), by_hash.alias("h")
     on_hash = (
         (F.lower("f.value_hash") == F.col("h.value_hash"))
         & (F.col("h.rule_id").isNull() | (F.col("h.rule_id") == F.col("f.rule_id")))
         & F.expr("f.file RLIKE h.path_re")
     )
-    on_path = (F.col("p.rule_id").isNull() | (F.col("p.rule_id") == F.col("f.rule_id"))) & F.expr(
-        "f.file RLIKE p.path_re"
-    )
+    rest = f.join(h, on_hash, "left_anti").select(*findings.columns)
+    short = few(by_path)
+    if short is not None:
+        by_rule = {r["rule_id"]: [x["path_re"] for x in short if x["rule_id"] == r["rule_id"]] for r in short}
+        covered = any_regex(F.col("file"), by_rule.pop(None, []))
+        for rule, regexes in by_rule.items():
+            covered = covered | (F.col("rule_id").eqNullSafe(rule) & any_regex(F.col("file"), regexes))
+        parts = [rest.where(covered)]
+        left = rest.where(~covered)
+    else:
+        found = matches(findings.select(F.col("file").alias("text")), by_path, pattern="path_re", anchor="anchor")
+        accepted = found.join(by_path, "path_re").select(F.col("text").alias("file"), "rule_id").distinct()
+        any_rule = accepted.where("rule_id IS NULL").select("file")
+        others = rest.join(any_rule, "file", "left_anti")
+        parts = [rest.join(any_rule, "file", "left_semi"), others.join(accepted, ["file", "rule_id"], "left_semi")]
+        left = others.join(accepted, ["file", "rule_id"], "left_anti")
     if kept:
-        return f.join(h, on_hash, "left_anti").alias("f").join(p, on_path, "left_anti")
-    # disjoint halves, so no finding is reported twice
-    first = f.join(h, on_hash, "left_semi")
-    second = f.join(h, on_hash, "left_anti").alias("f").join(p, on_path, "left_semi")
-    return first.unionByName(second)
+        return left.select(*findings.columns)
+    # disjoint parts, so no finding is reported twice
+    return reduce(DataFrame.unionByName, [p.select(*findings.columns) for p in parts], f.join(h, on_hash, "left_semi").select(*findings.columns))
 
 
 def policy_warnings(entries, today: date | None = None, file: str = "policy.toml") -> list[tuple]:

@@ -204,7 +204,7 @@ def sup_allowlist(spark, sf_dir):
 def join_allowlist(spark, sf_dir):
     each = detect.matches(derived(spark, sf_dir, SRC), carry=["doc_id"], rules=RULES)
     allow = suppress.allowlist_table(spark, ALLOW, TODAY)
-    return suppress.allowlist_join(each, allow, size=len(ALLOW)).select("doc_id", "rule_id", "line", "value_hash")
+    return suppress.allowlist_join(each, allow).select("doc_id", "rule_id", "line", "value_hash")
 
 
 ORDERED = f"{BASE}, {KEPT}, passed AS (SELECT * FROM kept m WHERE NOT {ALLOWED})"
