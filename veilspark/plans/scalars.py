@@ -6,12 +6,13 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, sql
 from ..functions import validators as v
 from ..operators import audit, detect, report
 from ..rules.table import builtin
 from . import detection as det
 from .kit import COLUMN_SQL, LINE_SQL, PLAIN_DOCUMENTS, REGISTRY, derived, for_oracle, located_sql, value_hash_sql
+from .pseudonymization import KEY, token_sql
 from .samples import Pool
 
 _p = Pool("doc_id", "v")
@@ -107,3 +108,11 @@ def fn_since(spark, sf_dir):
     rows = derived(spark, sf_dir, "SELECT ts FROM {events}")
     return rows.where(F.col("ts") >= F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S")).cast(rows.schema["ts"].dataType)).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@REGISTRY.add("fn_sql_functions", f"""{SRC} SELECT id, {det.sql_luhn()} AS luhn, round(list_entropy(string_split(value, '')), 6) AS entropy,
+{value_hash_sql('pii.email', 'value')} AS value_hash, {token_sql('email', 'value')} AS token FROM v""")
+def fn_sql_functions(spark, sf_dir):
+    sql.register(spark, KEY)
+    return values(spark, sf_dir).selectExpr(
+        "id", "luhn(value) AS luhn", "round(entropy(value), 6) AS entropy", "value_hash('pii.email', value) AS value_hash", "token('email', value) AS token")
