@@ -17,6 +17,7 @@ ROW = "row"
 #: Of compressed files; in memory a table of numbers takes a few times as much.
 BROADCAST_BYTES = 4 << 20
 SLICE = 256
+BATCH_ROWS = 512
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,3 +81,11 @@ def slices(batches, rows: int = SLICE):
     """Parts of Arrow batches, so that what a task makes of one stays small beside it."""
     for batch in batches:
         yield from (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows, for the session: texts are long, and a batch lies in memory on both sides.
+
+    The operators don't call this, as it is the session's setting; the registered queries and the pipeline do.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -34,12 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, slices
 
 LEAST = 10
 COVERED = 50
 TOP = 2_000
 HELD = 1 << 20
+GIVEN = 1 << 15
 BLOCK = 4 << 20
 BITS_A_PAIR = 16
 MOST_BITS = 1 << 26
@@ -140,10 +141,12 @@ def count_runs(rows: DataFrame, count) -> DataFrame:
                     for low in range(0, len(words), HELD):
                         buffer.add(lang, words[low : low + HELD])
                         if buffer.held >= HELD:
-                            for part in buffer.flush():
-                                yield from count(*part)
+                            yield from given(buffer)
+        yield from given(buffer)
+
+    def given(buffer):
         for part in buffer.flush():
-            yield from count(*part)
+            yield from slices(count(*part), GIVEN)
 
     found = rows.mapInArrow(run, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))

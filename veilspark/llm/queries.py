@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.kit import Registry, table
 from . import bpe, cws, decontam, jaccard, language, licenses, mixing, phrases, pii, quality, resampling, sharding, token_files
-from .common import id_crc, shared_folder
+from .common import id_crc, shared_folder, small_batches
 
 REGISTRY = Registry({}, {})
 
@@ -70,6 +70,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("op5_jaccard")
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
@@ -114,4 +115,5 @@ SELECT b.lang, rank, phrase, a, l, r, t.n, cast(score AS BIGINT) AS score FROM p
 
 @REGISTRY.add("op11_collocations", PHRASES_SQL)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return phrases.collocations(table(spark, sf_dir, "documents"))
