@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last ret
 works on all rows that the one before it kept: documents that the quality classifier rejects go, one document of each
 group of near duplicates stays, documents that hold a benchmark item go, personal data is replaced in the text, and
 the texts are encoded.
+
+Each stage takes nulls in any column, empty and very long texts, ties and repeated rows as its operator's docstring says;
+of empty documents each stage makes an empty table of the same columns. Columns of ``docs`` may have any name: a stage
+carries its row as one struct. Arrow batches are kept small for the session, as whole rows of long texts pass through
+Python in three stages.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import bpe, decontam, jaccard, pii, quality
-from veilspark.llm.common import shared_folder
+from veilspark.llm.common import shared_folder, small_batches
 from veilspark.plans.kit import Registry, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -50,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result but the last is written to the shared folder and read again."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, "stage-" + name.replace(" ", "-"))
