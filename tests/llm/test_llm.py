@@ -185,6 +185,9 @@ def test_licenses(spark, rows, plain):
         (22, "Licensed under CC BY-NC 4.0."), (23, "Licensed under CC BY 4.0."), (24, "license mit public general"),
         (25, "This program is a free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
              "License as published by the Free Software Foundation, either version 3"), (25, "mit license"), (25, "mit license"),
+        # the Kelvin sign is no k, so there are three words that no template has
+        (26, "this wor\u212a is licensed under a creative commons attribution 4 0 international license".replace("creative", "c\u212aeative")),
+        (27, "released released under under the the mit mit license license"),
     ]
     docs = rows.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     got = collections.Counter(tuple(r)[:6] for r in licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect())
@@ -195,7 +198,9 @@ def test_licenses(spark, rows, plain):
         want[(doc_id, n, len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))] += 1
     assert got == want
     labels = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).where("doc_id >= 20").collect()}
-    assert labels[22][0] == "cc-by-nc" and labels[23][0] == "cc-by" and labels[24] == ("", 0.0) and "gpl" in labels[25][0] + "gpl"
+    assert labels[22][0] == "cc-by-nc" and labels[23][0] == "cc-by" and labels[24] == ("", 0.0)
+    assert sorted(r.labels for r in licenses.scan(docs).where("doc_id = 25").collect()) == ["gpl", "mit", "mit"]
+    assert licenses.scan(docs).where("doc_id = 26").first()["score"] < 1.0
     assert licenses.scan(docs.limit(0)).count() == 0
 
 

@@ -11,6 +11,8 @@ row each; equal diagonals of two templates of one label count once as a label, e
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,8 @@ DENSITY = 0.5
 
 
 def words(text: str = "text") -> Column:
-    """Words of a text with A-Z in lower case.
-
-    ``lower`` also changes letters beyond ASCII. They are word characters before and after, and no word of a template
-    has one of the letters that some of them turn into.
-    """
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
+    """Words of a text with A-Z in lower case; letters beyond ASCII stay as they are."""
+    return F.regexp_extract_all(F.translate(F.col(text), ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
 
 
 def template_table(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -75,7 +73,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     found = hits(rows, grams, [("words", 0, PHRASE_K), ("words", 0, NOTICE_K)])
     diagonals = (
         found.groupBy("uid", "doc_id", "n_words", "template", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .agg(F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     )
     named = F.broadcast(templates.select("template", "label", F.col("k").alias("gram"), "grams"))
     placed = diagonals.join(named, "template", "left")
@@ -85,7 +83,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     spans = (
         placed.withColumn("step", step).withColumn("span", F.sum("step").over(in_order))
         .groupBy("uid", "doc_id", "n_words", "template", "label", "gram", "grams", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # a place of the template that several near diagonals have is one vote
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
     share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
     density = F.col("votes") / (F.col("high") - F.col("low") + 1)
