@@ -42,10 +42,26 @@ def chain(text: str, repl: str = "'[REDACTED]'") -> str:
     return text
 
 
-for _key in ("mask_match", "sink_masked", "mask_min_severity", "mask_line_endings"):
+for _key in ("mask_match", "sink_masked"):
     REGISTRY.put(_key, lambda spark, sf_dir: _masked(spark, sf_dir), f"{BASE} SELECT doc_id, {chain('text')} AS text FROM src")
 
 
+@REGISTRY.add("mask_min_severity", f"""{BASE} SELECT doc_id, 'medium' AS floor, {chain('text')} AS text FROM src
+UNION ALL SELECT doc_id, 'high', regexp_replace(text, {AKIA}, '[REDACTED]', 'g') FROM src""")
+def mask_min_severity(spark, sf_dir):
+    floors = [_masked(spark, sf_dir, MaskSettings(min_severity=f)).withColumn("floor", F.lit(f)) for f in ("medium", "high")]
+    return floors[0].unionByName(floors[1]).select("doc_id", "floor", "text")
+
+
+# a lone carriage return, both orders of the pair, and no end at the last line
+_ENDINGS = planted(f"concat('a ', {MAIL}, chr(13), 'b ', {KEY}, chr(13), chr(10), 'c', chr(10), chr(13), {MAIL}, chr(13), chr(13), chr(10), chr(10), 'd ', {MAIL})").replace(", chr(10)) AS text", ") AS text")
+
+
+@REGISTRY.add("mask_line_endings", f"WITH src AS ({for_oracle(_ENDINGS)}) SELECT doc_id, {chain('text')} AS text FROM src")
+def mask_line_endings(spark, sf_dir):
+    return _masked(spark, sf_dir, src=_ENDINGS)
+
+
 @REGISTRY.add("mask_full_line", f"""{BASE} SELECT doc_id, array_to_string([CASE WHEN regexp_matches(l, {EMAIL}) OR regexp_matches(l, {AKIA}) OR regexp_matches(l, {SSN})
 THEN '[REDACTED_LINE]' || CASE WHEN l LIKE '%' || chr(13) THEN chr(13) ELSE '' END ELSE l END for l in string_split(text, chr(10))], chr(10)) AS text FROM src""")
 def mask_full_line(spark, sf_dir):
@@ -128,15 +144,17 @@ def mask_display_line(spark, sf_dir):
     return lines.select("doc_id", mask.display_line(F.col("line"), DISPLAY_RULES).alias("shown"))
 
 
-CONTEXT = planted(f"concat('before ', {MAIL}, chr(10), 'key ', {KEY}, chr(10), 'after ', {KEY}, chr(10), 'tail')")
+OTHER_KEY = f"concat('AKIA', upper({Pool('doc_id', 'c').take(16)}))"
+CONTEXT = planted(f"concat('before ', {MAIL}, chr(10), 'key ', {KEY}, chr(10), 'after ', {OTHER_KEY}, chr(10), 'tail')")
 
 
-@REGISTRY.add("prj_context", "SELECT doc_id, 'before [REDACTED]' AS before, 'after [REDACTED]' AS after FROM documents")
+@REGISTRY.add("prj_context", """WITH d AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS n FROM documents)
+SELECT doc_id, cast(n + 3 AS INT) AS line, 'before [REDACTED]' AS before, 'after [REDACTED]' AS after FROM d
+UNION ALL SELECT doc_id, cast(n + 4 AS INT), 'key [REDACTED]', 'tail' FROM d""")
 def prj_context(spark, sf_dir):
+    """The lines around every finding."""
     aws = [r for r in builtin() if r.rule_id == "secret.aws_access_key"]
     rows = scan.scan_rows(derived(spark, sf_dir, CONTEXT), carry=["doc_id"], rules=aws, keep_text=True)
-    first = rows.where(F.size("found") > 0).select(
-        "doc_id", "__text", F.array_min(F.transform("found", lambda m: m["line"])).alias("line")
-    )
-    shown = mask.context(first, DISPLAY_RULES)
-    return shown.select("doc_id", F.get("context_before", F.lit(0)).alias("before"), F.get("context_after", F.lit(0)).alias("after"))
+    each = rows.select("doc_id", "__text", F.explode_outer(F.array_distinct(F.transform("found", lambda m: m["line"]))).alias("line")).where("line IS NOT NULL")
+    shown = mask.context(each, DISPLAY_RULES)
+    return shown.select("doc_id", "line", F.get("context_before", F.lit(0)).alias("before"), F.get("context_after", F.lit(0)).alias("after"))

@@ -377,15 +377,16 @@ for _key in ("src_changed_only", "join_changed"):
     )
 
 
-_TRACKED = "SELECT doc_id AS identity, {p} AS path FROM {documents} WHERE {w}".replace("{p}", "concat(source, '/', cast(doc_id as string))")
+_TRACKED = "SELECT doc_id AS identity, concat({p}, source, '/', cast(doc_id as string)) AS path FROM {documents} WHERE {w}"
 
 
-@REGISTRY.add("src_tracked_union", "SELECT doc_id AS identity, concat(source, '/', cast(doc_id as string)) AS path FROM documents WHERE lang IN ('en', 'fr', 'de')")
+@REGISTRY.add("src_tracked_union", """SELECT doc_id AS identity, concat(CASE WHEN lang = 'de' THEN 'index/' ELSE 'tree/' END, source, '/', cast(doc_id as string)) AS path
+FROM documents WHERE lang IN ('en', 'fr', 'de')""")
 def src_tracked_union(spark, sf_dir):
     from ..sources.files import with_tracked
 
-    walked = derived(spark, sf_dir, _TRACKED.replace("{w}", "lang IN ('en', 'fr')"))
-    tracked = derived(spark, sf_dir, _TRACKED.replace("{w}", "lang IN ('fr', 'de')"))
+    walked = derived(spark, sf_dir, _TRACKED.replace("{p}", "'tree/'").replace("{w}", "lang IN ('en', 'fr')"))
+    tracked = derived(spark, sf_dir, _TRACKED.replace("{p}", "'index/'").replace("{w}", "lang IN ('fr', 'de')"))
     return with_tracked(walked, tracked)
 
 
@@ -432,16 +433,23 @@ def prj_safe_label(spark, sf_dir):
     )
 
 
-@REGISTRY.add("flt_rule_gate", "SELECT 'en' AS languages, " + str(len([r for r in builtin() if not r.rule_id.startswith("pii.ja.")]))
-              + " AS rules, count(*) AS documents FROM documents WHERE contains(coalesce(text, ''), '@')")
+_BOTH = planted("concat('ssn 123-45-', lpad(cast(doc_id % 9000 + 1000 as string), 4, '0'), chr(10), '氏名: 山田 太郎')")
+_GATED = {"pii.en.ssn": "en", "pii.ja.name": "ja"}
+
+
+@REGISTRY.add("flt_rule_gate", " UNION ALL ".join(
+    f"SELECT '{'+'.join(langs)}' AS languages, '{rule}' AS rule_id, count(*) AS n FROM documents"
+    for langs in (("en",), ("ja",), ("en", "ja")) for rule, lang in _GATED.items() if lang in langs))
 def flt_rule_gate(spark, sf_dir):
+    """The detector under policies of one and of both languages."""
     from ..rules.table import rules_for
 
-    gated = rules_for(Policy(pii_languages=("en",)))
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
-    return docs.agg(F.count(F.lit(1)).alias("documents")).select(
-        F.lit("en").alias("languages"), F.lit(len(gated)).alias("rules"), "documents"
-    )
+    def found(langs):
+        gated = [r for r in rules_for(Policy(pii_languages=langs)) if r.rule_id in _GATED]
+        each = detect.matches(derived(spark, sf_dir, _BOTH), carry=["doc_id"], rules=gated)
+        return each.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("+".join(langs)).alias("languages"), "rule_id", "n")
+
+    return found(("en",)).unionByName(found(("ja",))).unionByName(found(("en", "ja")))
 
 
 _PROVIDER_DOCS = detection.provider_source(spark=False)
@@ -467,9 +475,17 @@ for _key in ("flt_keywords", "join_rule_candidates"):
     REGISTRY.put(_key, _candidates, _candidate_oracle())
 
 
-@REGISTRY.add("flt_rule_path", f"SELECT id, path FROM ({for_oracle(_PATHS)}) WHERE regexp_matches(path, '(?i)[.](?:py|js)$')")
+_TERRAFORM = planted(
+    "concat('password = ', chr(34), lower(substr(md5(cast(doc_id as string)), 1, 12)), chr(34))",
+    "concat(source, '/', cast(doc_id as string), CASE doc_id % 5 WHEN 0 THEN '.tf' WHEN 1 THEN '.HCL' WHEN 2 THEN '.py' WHEN 3 THEN '.tf.txt' ELSE '/tf' END)")
+
+
+@REGISTRY.add("flt_rule_path", """SELECT doc_id, cast(2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT) AS line
+FROM documents WHERE doc_id % 5 IN (0, 1)""")
 def flt_rule_path(spark, sf_dir):
-    return derived(spark, sf_dir, _PATHS).where(F.col("path").rlike(r"(?i)\.(?:py|js)\z"))
+    """A rule that applies to two kinds of files only."""
+    rule = [r for r in builtin() if r.rule_id == "secret.gitleaks.hashicorp-tf-password"]
+    return detect.matches(derived(spark, sf_dir, _TERRAFORM), carry=["doc_id"], rules=rule).select("doc_id", "line")
 
 
 _KEYS = "SELECT doc_id, concat('AKIA', CASE WHEN doc_id % 3 = 0 THEN 'AAAAAAAAAEXAMPLE' WHEN doc_id % 3 = 1 THEN 'BBBBBBBBBBBBBBBB' ELSE upper(translate(substr(md5(cast(doc_id as string)), 1, 16), '0189', 'wxyz')) END) AS value FROM {documents}"

@@ -118,8 +118,11 @@ def not_inspected(noticed: DataFrame) -> DataFrame:
 
 
 def with_tracked(walked: DataFrame, tracked: DataFrame) -> DataFrame:
-    """Add tracked files that ignore rules hid, none of them twice."""
-    return walked.unionByName(tracked).dropDuplicates(["identity"])
+    """Add tracked files that ignore rules hid, none of them twice: the walked row wins, of several the least."""
+    both = walked.withColumn("__origin", F.lit(0)).unionByName(tracked.withColumn("__origin", F.lit(1)))
+    rest = [c for c in walked.columns if c != "identity"]
+    chosen = both.groupBy("identity").agg(F.min(F.struct("__origin", *rest)).alias("__row"))
+    return chosen.select(*(F.col("identity") if c == "identity" else F.col("__row")[c].alias(c) for c in walked.columns))
 
 
 def printable_runs(text: Column) -> Column:
