@@ -106,6 +106,13 @@ class KeyMaterial:
         return hashlib.sha256(self.master + self.salt).hexdigest()[:16]
 
 
+def fingerprint(stored: Column) -> Column:
+    """Fingerprint of key material in its stored form; null for any other text."""
+    shape = r"\Av1:([0-9A-Fa-f]{64}):([0-9A-Fa-f]{64})\z"
+    both = F.unhex(F.concat(F.regexp_extract(stored, shape, 1), F.regexp_extract(stored, shape, 2)))
+    return F.when(stored.rlike(shape), F.left(F.sha2(both, 256), F.lit(16)))
+
+
 def token_prefix(kind: str) -> str:
     return kind.split(":", 1)[1] if kind.startswith("custom:") else kind
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,6 +116,12 @@ def header_kind(name: str) -> str | None:
     return "phone" if key in PHONE_HEADERS else None
 
 
+def header_kind_of(name: Column) -> Column:
+    """The same for a column of header names."""
+    key = F.translate(F.regexp_replace(name, rf"\A{SPACE}+|{SPACE}+\z", ""), ascii_uppercase, ascii_lowercase)
+    return F.when(key.isin(*EMAIL_HEADERS), "email").when(key.isin(*PHONE_HEADERS), "phone")
+
+
 def merged_row(field: Column, delimiter: str, column_count: int, field_count: Column | int) -> Column:
     """A field with line breaks that looks like rows swallowed by a stray quote."""
     count = lambda c: F.length(field) - F.length(F.replace(field, F.lit(c), F.lit("")))

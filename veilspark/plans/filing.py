@@ -60,15 +60,19 @@ def src_files(spark, sf_dir):
     return files.notices(files.classify(listed)).select("file", "rule_id")
 
 
-@REGISTRY.add("src_nul_text", f"SELECT doc_id, md5(concat('a', chr(10), cast(doc_id AS VARCHAR), chr(10), 'b')) AS digest, concat('longer ', cast(doc_id AS VARCHAR), ' run') AS runs FROM documents")
+_NUL = "SELECT doc_id, coalesce(text, '') AS text FROM {documents}"
+
+
+@REGISTRY.add("src_nul_text", f"""SELECT doc_id, md5(CASE WHEN regexp_full_match(text, '[ -~[:space:]]*') THEN text ELSE array_to_string(regexp_extract_all(text, '[ -~' || chr(9) || ']{{6,}}'), chr(10)) END) AS digest,
+md5(array_to_string(regexp_extract_all(text, '[ -~' || chr(9) || ']{{6,}}'), chr(10))) AS runs, md5(text) AS wide FROM ({for_oracle(_NUL)})""")
 def src_nul_text(spark, sf_dir):
-    rows = derived(spark, sf_dir, "SELECT doc_id FROM {documents}")
-    number = F.col("doc_id").cast("string").cast("binary")
-    nul = F.unhex(F.lit("00"))
-    separated = F.concat(F.encode(F.lit("a"), "UTF-8"), nul, number, nul, F.encode(F.lit("b"), "UTF-8"))
-    binary = F.concat(F.unhex(F.lit("0102")), F.encode(F.lit("ab"), "UTF-8"), F.unhex(F.lit("03")), F.encode(F.lit("longer "), "UTF-8"),
-                      number, F.encode(F.lit(" run"), "UTF-8"), F.unhex(F.lit("04FE")))
-    return rows.select("doc_id", F.md5(files.nul_text(separated).cast("binary")).alias("digest"), files.nul_text(binary).alias("runs"))
+    """Whole texts whose lines end in NUL, the same behind bytes of no text, and in two bytes a character with a mark."""
+    rows = derived(spark, sf_dir, _NUL)
+    nul = F.unhex(F.hex(F.encode(F.replace("text", F.lit("\n"), F.lit("\x00")), "UTF-8")))
+    binary = F.concat(F.unhex(F.lit("0102FE")), nul, F.unhex(F.lit("03FF")))
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    digest = lambda c: F.md5(files.nul_text(c).cast("binary"))
+    return rows.select("doc_id", digest(nul).alias("digest"), digest(binary).alias("runs"), digest(wide).alias("wide"))
 
 
 @REGISTRY.add("src_delimited", """SELECT c_custkey AS id, 3 AS fields, concat('x "', c_name, '", y') AS second FROM customer""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions import normalize as norm
 from ..functions.hashing import KeyMaterial
+from ..operators import detect
 from ..operators import pseudonymize as psd
 from ..operators.pseudonymize import ResolvedColumn
 from ..rules.table import builtin
@@ -214,10 +215,14 @@ def fn_kind_key(spark, sf_dir):
     return rows.select("id", hashing.hmac_hex(F.lit(inner), F.lit(outer), F.col("c_name")).alias("digest"))
 
 
-@REGISTRY.add("fn_fingerprint", f"SELECT substr(sha256(unhex('{(KEY.master + KEY.salt).hex()}')), 1, 16) AS fingerprint, count(*) AS people FROM customer")
+_STORED = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 3 THEN concat('v2:', md5(c_name)) WHEN 4 THEN NULL
+ELSE concat('v1:', md5(c_name), md5(c_mktsegment), ':', upper(md5(concat('s', c_name))), md5(cast(c_nationkey as string))) END AS stored FROM {customer}"""
+
+
+@REGISTRY.add("fn_fingerprint", f"""SELECT id, CASE WHEN stored LIKE 'v1:%' THEN substr(sha256(unhex(replace(substr(stored, 4), ':', ''))), 1, 16) END AS fingerprint
+FROM ({for_oracle(_STORED)})""")
 def fn_fingerprint(spark, sf_dir):
-    rows = derived(spark, sf_dir, "SELECT c_custkey FROM {customer}")
-    return rows.agg(F.count(F.lit(1)).alias("people")).select(F.lit(KEY.fingerprint()).alias("fingerprint"), "people")
+    return derived(spark, sf_dir, _STORED).select("id", hashing.fingerprint(F.col("stored")).alias("fingerprint"))
 
 
 @REGISTRY.add("fn_classify_cell", f"""WITH {BASE} SELECT id, CASE WHEN regexp_matches(email, '@[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}') THEN 'email' END AS email_kind,
@@ -227,12 +232,14 @@ def fn_classify_cell(spark, sf_dir):
         "id", psd.cell_kind(F.col("email")).alias("email_kind"), psd.cell_kind(F.col("phone")).alias("phone_kind"))
 
 
-@REGISTRY.add("fn_header_kind", "SELECT 'E-Mail' AS header, 'email' AS kind, count(*) AS n FROM customer UNION ALL SELECT '電話番号', 'phone', count(*) FROM customer UNION ALL SELECT 'city', NULL, count(*) FROM customer")
+_HEADERS = """SELECT p_partkey AS id, CASE p_size % 9 WHEN 0 THEN ' E-Mail' WHEN 1 THEN '電話番号' WHEN 2 THEN 'TEL' WHEN 3 THEN 'メアド' WHEN 4 THEN 'email address'
+WHEN 5 THEN 'Phone_Number ' WHEN 6 THEN NULL WHEN 7 THEN 'telegram' ELSE p_name END AS header FROM {part}"""
+
+
+@REGISTRY.add("fn_header_kind", f"""SELECT id, CASE WHEN trim(header) IN ('E-Mail', 'メアド') THEN 'email' WHEN trim(header) IN ('電話番号', 'TEL', 'Phone_Number') THEN 'phone' END AS kind
+FROM ({for_oracle(_HEADERS)})""")
 def fn_header_kind(spark, sf_dir):
-    n = derived(spark, sf_dir, "SELECT c_custkey FROM {customer}").agg(F.count(F.lit(1)).alias("n"))
-    rows = F.explode(F.array(*(F.struct(F.lit(h).alias("header"), F.lit(norm.header_kind(h)).cast("string").alias("kind"))
-                               for h in ("E-Mail", "電話番号", "city"))))
-    return n.select(rows.alias("r"), "n").select("r.header", "r.kind", "n")
+    return derived(spark, sf_dir, _HEADERS).select("id", norm.header_kind_of(F.col("header")).alias("kind"))
 
 
 _SHAPES = "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '12/3, (4)' WHEN 1 THEN '-()' WHEN 2 THEN concat(cast(p_size as string), ':00') ELSE p_name END AS cell FROM {part}"
@@ -264,14 +271,6 @@ def fn_given_name(spark, sf_dir):
     return derived(spark, sf_dir, _NAMES).select("id", psd.given_name(F.lit("氏名: 山田"), F.col("rest")).alias("given"))
 
 
-@REGISTRY.add("psd_rule_kinds", "SELECT rule_id, kind, (SELECT count(*) FROM documents) AS documents FROM (VALUES ('pii.email', 'email'), ('pii.en.phone', 'phone'), ('pii.ja.phone', 'phone'), ('pii.en.name', 'name'), ('pii.ja.name', 'name'), ('pii.credit_card', 'custom:card')) t(rule_id, kind)")
-def psd_rule_kinds(spark, sf_dir):
-    kinds = psd.rule_kinds({"pii.credit_card": "custom:card"})
-    n = derived(spark, sf_dir, "SELECT doc_id FROM {documents}").agg(F.count(F.lit(1)).alias("documents"))
-    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(k).alias("kind")) for r, k in kinds.items())))
-    return n.select(rows.alias("r"), "documents").select("r.*", "documents")
-
-
 # -- texts -----------------------------------------------------------------------------------
 _p = Pool("doc_id", "x")
 USER = "concat('User', cast(doc_id % 300 as string), '@example.com')"
@@ -279,6 +278,16 @@ TEXT = planted(f"concat('mail ', {USER}, ' tel 090-1234-', cast(doc_id % 1000 +
 TEXT_RULES = [r for r in builtin() if r.rule_id in ("pii.email", "pii.ja.phone", "secret.aws_access_key", "pii.en.ssn", "pii.ja.name")]
 
 
+@REGISTRY.add("psd_rule_kinds", """SELECT rule_id, kind, count(*) AS documents FROM documents,
+(VALUES ('pii.email', 'email'), ('pii.ja.phone', 'phone'), ('pii.ja.name', 'name'), ('pii.en.ssn', 'custom:ssn'), ('secret.aws_access_key', NULL)) t(rule_id, kind) GROUP BY ALL""")
+def psd_rule_kinds(spark, sf_dir):
+    """Findings of the rules, each with the kind of its tokens; one rule has a kind of the caller's, one has none."""
+    kinds = psd.rule_kinds({"pii.en.ssn": "custom:ssn"})
+    found = detect.matches(derived(spark, sf_dir, TEXT), carry=["doc_id"], rules=TEXT_RULES).groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    known = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    return found.groupBy("rule_id", known[F.col("rule_id")].alias("kind")).agg(F.count(F.lit(1)).alias("documents"))
+
+
 @REGISTRY.add("psd_text")
 def psd_text(spark, sf_dir):
     return psd.pseudonymize_text(derived(spark, sf_dir, TEXT), KEY).select("doc_id", "text")
