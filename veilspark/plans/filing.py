@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import scan
 from ..policy import Policy
 from ..rules.table import builtin
-from ..sources import files, tables
+from ..sources import delimited, files, tables
+from ..streaming.jobs import shared_folder
 from .kit import DOC_PATH, REGISTRY, derived, for_oracle
 
 RAW = f"SELECT doc_id, {DOC_PATH} AS path, coalesce(text, '') AS text FROM {{documents}}"
@@ -75,11 +76,18 @@ def src_nul_text(spark, sf_dir):
     return rows.select("doc_id", digest(nul).alias("digest"), digest(binary).alias("runs"), digest(wide).alias("wide"))
 
 
-@REGISTRY.add("src_delimited", """SELECT c_custkey AS id, 3 AS fields, concat('x "', c_name, '", y') AS second FROM customer""")
+_NOTED = """SELECT c_custkey AS id, concat('x ', chr(34), c_name, chr(34), ', y', CASE WHEN c_custkey % 3 = 0 THEN concat(chr(10), 'second, ', chr(34), chr(10), c_mktsegment) ELSE '' END) AS note,
+CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS segment FROM {customer}"""
+
+
+@REGISTRY.add("src_delimited", f"SELECT id, 3 AS fields, note, segment FROM ({for_oracle(_NOTED)})")
 def src_delimited(spark, sf_dir):
-    lines = derived(spark, sf_dir, "SELECT c_custkey AS id, concat(cast(c_custkey as string), ',', chr(34), 'x ', chr(34), chr(34), c_name, chr(34), chr(34), ', y', chr(34), ',', c_mktsegment) AS line FROM {customer}")
-    fields = tables.csv_fields(F.col("line"))
-    return lines.select("id", F.size(fields).alias("fields"), F.get(fields, F.lit(1)).alias("second"))
+    """The table written as one file with quotes and line breaks in its fields, and read back in splits."""
+    folder = shared_folder(spark)
+    tables.write_delimited(derived(spark, sf_dir, _NOTED).coalesce(1), folder, header=False)
+    fields = delimited.read_records(spark, folder).select("fields")
+    at = lambda k: F.get("fields", F.lit(k))
+    return fields.select(at(0).cast("long").alias("id"), F.size("fields").alias("fields"), at(1).alias("note"), at(2).alias("segment"))
 
 
 @REGISTRY.add("src_office_text")

@@ -47,9 +47,11 @@ def write_delimited(df: DataFrame, path: str, *, header: bool = True, sep: str =
 
 def csv_fields(line: Column, sep: str = ",") -> Column:
     """Fields of one delimited record, as many as it has; quotes doubled inside quotes."""
-    pattern = rf'(?:\A|{sep})(?:"((?:[^"]|"")*+)"|([^{sep}"]*+))'
-    quoted = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    plain = F.regexp_extract_all(line, F.lit(pattern), F.lit(2))
+    # each match begins with a separator, so that an empty first field is one as well
+    pattern = rf'{sep}(?:"((?:[^"]|"")*+)"|([^{sep}]*+))'
+    whole = F.concat(F.lit(sep), line)
+    quoted = F.regexp_extract_all(whole, F.lit(pattern), F.lit(1))
+    plain = F.regexp_extract_all(whole, F.lit(pattern), F.lit(2))
     return F.transform(quoted, lambda q, i: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(F.get(plain, i)))
 
 
