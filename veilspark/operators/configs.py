@@ -439,6 +439,7 @@ def missing_patterns(required: DataFrame, lines: DataFrame, by: str = "project")
 
 # -- package manager settings -----------------------------------------------------------------------
 
+# --- fixed values: names and units of package-age settings -------------------------------
 MIN_AGE_DAYS = 7
 UNIT_SECONDS = {
     86400.0: ("", "d", "day", "days"), 0.001: ("ms", "msec", "msecs", "millisecond", "milliseconds"),
@@ -446,11 +447,12 @@ UNIT_SECONDS = {
     3600.0: ("h", "hr", "hrs", "hour", "hours"), 604800.0: ("w", "wk", "wks", "week", "weeks"),
     2592000.0: ("mo", "month", "months"), 31536000.0: ("y", "yr", "yrs", "year", "years"),
 }
-# setting name and its unit in days, per file type
+# qualified setting name and its unit in days, per file type
 AGE_SETTINGS = {
     "npmrc": ("min-release-age", 1.0), "pnpm": ("minimumReleaseAge", 1 / 1440), "yarn": ("npmMinimalAgeGate", 1 / 1440),
-    "bun": ("minimumReleaseAge", 1 / 86400),
+    "bun": ("install.minimumReleaseAge", 1 / 86400),
 }
+YAML_KINDS, TOML_KINDS = ("pnpm", "yarn"), ("bun",)
 
 
 def duration_days(value: Column) -> Column:
@@ -476,6 +478,30 @@ def last_settings(lines: DataFrame, by: list[str], order: str = "line", text: st
     return rows.groupBy(*by, "key").agg(F.max_by("value", order).alias("value"))
 
 
+def qualified_settings(lines: DataFrame, by: list[str], kind: str = "kind", order: str = "line", text: str = "text") -> DataFrame:
+    """Settings of package-manager files in their own syntax, ``by``, kind, key and value; the last of a key wins.
+
+    ``npmrc`` has keys alone. In YAML a key below another is written behind the top-level key that it is under, with two
+    dots, as what lies between is not asked for; in TOML a key is behind its table, with one. Values lose comments and quotes.
+    """
+    yaml, toml = F.col(kind).isin(*YAML_KINDS), F.col(kind).isin(*TOML_KINDS)
+    line = F.trim(text)
+    before = Window.partitionBy(*by, kind).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    table = F.when(toml & line.rlike(r"\A\[[^\[\]]+\]\s*(?:#.*)?\z"), F.trim(F.regexp_extract(line, r"\A\[([^\[\]]+)\]", 1)))
+    head = F.when(yaml, F.substring_index(line, ":", 1)).otherwise(F.substring_index(line, "=", 1))
+    shaped = ~line.rlike(r"\A(?:[#;\[]|\z)") & (F.length(head) < F.length(line))
+    bare = F.regexp_replace(F.trim(head), r"""\A["']|["']\z""", "")
+    rest = F.trim(F.substring_index(F.substring(line, F.length(head) + 2, F.length(line)), "#", 1))
+    indented = F.col(text).rlike(r"\A[ \t]")
+    top = F.when(yaml & shaped & ~indented, bare)
+    rows = lines.select(
+        *by, kind, order, shaped.alias("shaped"), bare.alias("bare"), F.regexp_replace(rest, r"""\A["']|["']\z""", "").alias("value"),
+        F.when(yaml & indented, F.concat(F.last(top, ignorenulls=True).over(before), F.lit(".."))).when(
+            toml, F.concat(F.last(table, ignorenulls=True).over(before), F.lit("."))).alias("under"),
+    ).where("shaped")
+    return rows.groupBy(*by, kind, F.concat(F.coalesce("under", F.lit("")), "bare").alias("key")).agg(F.max_by("value", order).alias("value"))
+
+
 def age_gate(settings: DataFrame, by: list[str], kind: str = "kind") -> DataFrame:
     """Whether packages must reach a minimum age before they are installed, and scripts are off."""
     number = F.when(F.col("value").rlike(r"\A[0-9]+\z"), F.col("value").cast("double"))
@@ -490,6 +516,7 @@ def age_gate(settings: DataFrame, by: list[str], kind: str = "kind") -> DataFram
     return rows.select(*by, "age_days", F.coalesce(F.col("age_days") >= MIN_AGE_DAYS, F.lit(False)).alias("age_ok"), "ignore_scripts_ok")
 
 
+# --- fixed values: keys of a dependency bot's cooldown ------------------------------------
 COOLDOWN_KEYS = ("default-days", "semver-major-days", "semver-minor-days", "semver-patch-days")
 
 

@@ -25,8 +25,10 @@ from .detect import _CODE, _ENV, _PATH, _TEXT
 
 UNPARSED = "[UNPARSED]"
 REDACTED = "[REDACTED]"
+# --- fixed values: how many rows decide a column, and by what share -------------
 SAMPLE_ROWS = 20
 MATCH_THRESHOLD = 0.60
+# -------------------------------------------------------------------------------
 RESERVED = ("email", "phone", "name")
 BROADCAST_TOKENS = 1_000_000
 

@@ -194,11 +194,20 @@ def win_last_setting(spark, sf_dir):
     return configs.last_settings(derived(spark, sf_dir, _SET), ["project"])
 
 
-@REGISTRY.add("aud_package_age_gate", f"""WITH {_LAST} SELECT project, max(CASE WHEN key = 'min-release-age' THEN cast(value AS DOUBLE) END) AS age_days,
-coalesce(max(CASE WHEN key = 'min-release-age' THEN cast(value AS DOUBLE) END) >= 7, false) AS age_ok, bool_or(key = 'ignore-scripts' AND value = 'true') AS ignore_scripts_ok FROM last GROUP BY project""")
+# one file a customer, of four kinds in turn; the setting also stands where it does not count
+_MANAGED = """SELECT project, kind, cast(pos as int) AS line, text FROM (SELECT project, kind, posexplode(split(body, chr(10))) AS (pos, text) FROM (
+SELECT c_custkey AS project, CASE c_custkey % 4 WHEN 0 THEN 'npmrc' WHEN 1 THEN 'pnpm' WHEN 2 THEN 'yarn' ELSE 'bun' END AS kind, CASE c_custkey % 4
+WHEN 0 THEN concat('ignore-scripts=true', chr(10), 'min-release-age=2', chr(10), 'min-release-age = ', cast(c_custkey % 13 as string), ' # d', chr(10), '; min-release-age=99')
+WHEN 1 THEN concat('packages:', chr(10), '  - "."', chr(10), 'minimumReleaseAge: ', cast(c_custkey % 13 * 1440 as string), ' # min', chr(10), 'catalog:', chr(10), '  minimumReleaseAge: 99999')
+WHEN 2 THEN concat('npmMinimalAgeGate: "', cast(c_custkey % 13 * 1440 as string), '"', chr(10), '# npmMinimalAgeGate: 1', chr(10), 'npmScopes:', chr(10), '  x:', chr(10), '    npmMinimalAgeGate: 99999')
+ELSE concat('minimumReleaseAge = 9999999', chr(10), '[install] # y', chr(10), 'minimumReleaseAge = ', cast(c_custkey % 13 * 86400 as string), chr(10), '[run]', chr(10), 'minimumReleaseAge = 9999999') END AS body
+FROM {customer}))"""
+
+
+@REGISTRY.add("aud_package_age_gate", """SELECT c_custkey AS project, cast(c_custkey % 13 AS DOUBLE) AS age_days, c_custkey % 13 >= 7 AS age_ok, c_custkey % 4 = 0 AS ignore_scripts_ok FROM customer""")
 def aud_package_age_gate(spark, sf_dir):
-    settings = configs.last_settings(derived(spark, sf_dir, _SET), ["project", "kind"])
-    return configs.age_gate(settings, ["project"])
+    settings = configs.qualified_settings(derived(spark, sf_dir, _MANAGED), ["project"])
+    return configs.age_gate(settings, ["project"]).withColumn("age_days", F.round("age_days", 6))
 
 
 BOT = """SELECT f.file, l.line, CASE l.line WHEN 1 THEN 'updates:' WHEN 2 THEN '  - package-ecosystem: "npm"' WHEN 3 THEN CASE f.n % 3 WHEN 0 THEN '    cooldown:' ELSE '    schedule:' END
