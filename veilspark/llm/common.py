@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ ROW = "row"
 BROADCAST_BYTES = 4 << 20
 SLICE = 256
 BATCH_ROWS = 512
+#: A task holds a row group in memory while it writes one.
+ROW_GROUP = 16 << 20
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,7 +56,7 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 def kept(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and no executor's loss undoes it."""
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -81,6 +84,8 @@ def slices(batches, rows: int = SLICE):
     """Parts of Arrow batches, so that what a task makes of one stays small beside it."""
     for batch in batches:
         yield from (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))
+    # the worker lives on for later stages; what its batches took goes back to the system
+    pa.default_memory_pool().release_unused()
 
 
 def small_batches(spark: SparkSession) -> None:
