@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import bpe, decontam, jaccard, pii, quality
-from veilspark.llm.common import shared_folder, small_batches
+from veilspark.llm.common import ROW_GROUP, shared_folder, small_batches
 from veilspark.plans.kit import Registry, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
