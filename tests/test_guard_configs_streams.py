@@ -95,6 +95,18 @@ def test_files(spark, tmp_path):
     assert {(r.file, r.value) for r in hits.collect()} == {("src/a.txt", "a@b.io"), ("src/w.txt", "b@b.io"), ("lossy.txt", "c@b.io")}
 
 
+def test_large_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "big.bin").write_bytes(b"x" * 3000)
+    (tmp_path / "a.txt").write_text("a@b.io")
+    # Spark refuses to read the content of a file beyond this size
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        rows = files.read_files(spark, str(tmp_path), Policy(max_file_size_bytes=1000)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {(r.path, r.length, r.content is None) for r in rows} == {("big.bin", 3000, True), ("a.txt", 6, False)}
+
+
 def test_delimited_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'say "x"\nline'), ("", "z")], "one string, two string")
     tables.write_delimited(df.coalesce(1), str(tmp_path / "t"))

@@ -16,18 +16,18 @@ READ_LIMIT = 1 << 30
 def read_files(spark: SparkSession, root: str, policy: Policy = Policy()) -> DataFrame:
     """``path, length, content`` of a directory tree, paths relative to the root.
 
-    The path filter runs on the listing; content of large files is dropped
-    right in the scan so it is never carried along.
+    The path filter runs on the listing. Large files are listed by a scan of
+    their own that has no content column, so they are never opened: the size
+    test is pushed into both scans.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     rel = F.substring_index(F.col("path"), base, -1)
-    small = F.col("length") <= min(policy.max_file_size_bytes, READ_LIMIT)
-    return (
-        raw.withColumn("path", rel)
-        .where(path_fn.path_allowed(F.col("path"), policy.include, policy.exclude))
-        .select("path", "length", F.when(small, F.col("content")).alias("content"))
-    )
+    limit = min(policy.max_file_size_bytes, READ_LIMIT)
+    small = raw.where(F.col("length") <= limit).select("path", "length", "content")
+    large = raw.where(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).withColumn("path", rel).where(
+        path_fn.path_allowed(F.col("path"), policy.include, policy.exclude))
 
 
 def size_notice(size: Column, limit: int) -> Column:
