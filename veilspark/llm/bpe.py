@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 from .tokens import Encoder, Numbers, byte_table
 
 LEAF = 1 << 15
@@ -116,13 +116,13 @@ def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
 
     def short(batches):
         tree = tree_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             got = [tree.digests(tree.part(t).ids) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | columns(got))
 
     def leaves(batches):
         tree = tree_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [tree.encoder.encode(t).tobytes() for t in batch["piece"].to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {name: batch[name] for name in ("doc_id", "row", "leaf", "piece")} | {"ids": pa.array(ids, pa.binary())}
@@ -154,7 +154,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         tree = tree_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [tree.encode(t).tolist() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.list_(pa.int32()))})
 

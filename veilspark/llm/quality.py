@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, packed, ROW, slices, texts
+from .common import id_crc, slices, texts
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
     def to_features(batches):
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             both = [features(t, seen) for t in batch["text"].to_pylist()]
             index, value = [i.tobytes() for i, _ in both], [v.tobytes() for _, v in both]
             yield pa.RecordBatch.from_pydict({
@@ -194,11 +195,17 @@ def score_documents(docs: DataFrame, model: Machine) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, whole and with their own columns."""
+    """The rows of ``docs`` that the classifier accepts, whole and with their own columns; only texts go to Python."""
     model = train(docs, training_labels(labels))
-    wide = packed(docs).select("text", ROW)
-    schema = f"{ROW} {wide.schema[ROW].dataType.simpleString()}, score double"
-    return scores(wide, model, ROW, schema).where("score >= 0.5").select(f"{ROW}.*")
+    own = Machine(model.bias, model.weight.astype(np.float32), model.factor.astype(np.float32))
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen: dict[str, int] = {}
+        for part in slices(batches):
+            yield pa.array([float(sigmoid(own.margin(*features(t, seen)))) for t in part.to_pylist()], pa.float64())
+
+    return docs.where(score(F.coalesce(docs["text"], F.lit(""))) >= 0.5)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
