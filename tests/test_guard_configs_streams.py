@@ -187,6 +187,17 @@ def test_random_payloads_equal_a_walk(spark):
     assert got == {i: strings_under(p, keys) for i, p in enumerate(payloads)}
 
 
+def test_many_short_payloads_cost_little_each(spark):
+    from veilspark.operators.guard import payload_text
+
+    payload = F.concat(F.lit('{"prompt":"ask ","tool_input":{"content":["body ",{"x":["y","y"]}],"other":"no"},"args":["a","'), F.col("id").cast("string"), F.lit('"]}'))
+    rows = lambda n: spark.range(n).repartition(8).select(payload_text(payload).alias("text"))
+    assert rows(1).first()["text"] == "a\n0\nask \nbody \ny"
+    began = time.time()
+    assert rows(200_000).agg(F.sum(F.length("text")).alias("n")).first()["n"] == 200_000 * 15 + sum(len(str(i)) for i in range(200_000))
+    assert time.time() - began < 8
+
+
 def test_payloads_with_very_many_strings(spark):
     def seconds(n):
         payload = json.dumps({"a": 1, "command": [f"word{k}" for k in range(n)], "z": {"args": [["p", "q"]] * 10}})

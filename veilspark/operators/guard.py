@@ -7,12 +7,14 @@ event's row.
 
 from __future__ import annotations
 
+import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, sums_before_of
+from ..functions.arrays import let
 from ..policy import Policy
 from .patterns import any_regex, few, matches, star_anchor
 
@@ -95,7 +97,6 @@ def _any_wildcard(text: Column, patterns) -> Column:
 # -- extraction ---------------------------------------------------------------------------
 
 
-JSON_TEXT = r'"(?:[^"\\]++|\\.)*+"'
 ENVELOPES = ("tool_input", "toolArgs", "toolInput")
 
 
@@ -112,88 +113,54 @@ def _canonical(payload: Column) -> Column:
     return F.when(encoded, F.coalesce(F.to_json(F.transform_values(fields, decoded)), text)).otherwise(text)
 
 
-def _strings(payload: Column, keys, joined: bool = True) -> Column:
-    """Strings under the keys at any depth of the payload, in the order of its canonical JSON.
+def _strings(payload: Column, *groups, joined: bool = True) -> Column:
+    """For each group of keys, the strings under them at any depth of the payload, in the order of its canonical JSON.
 
     All strings below an array or object count, of an array also, when ``joined``, those among its items as one
-    command line. The canonical text has no spaces, and a quote inside a string is escaped, so the tokens are whole
-    keys, whole strings and brackets.
-
-    Running totals of the brackets give each token its depth. Sorted by depth and place, the tokens of one depth are
-    containers one after the other, each an opening bracket, the strings directly in it and its closing bracket: so
-    every second bracket closes the one before it. A container under a listed key adds one where it opens and takes it
-    back where it closes; a string counts where this total is above zero or a listed key comes right before it. Each
-    step is a pass or a sort, so long payloads cost in proportion to their length.
+    command line. Spark parses the payload, decodes envelopes and writes the canonical JSON; the walk over that is
+    in Python, in proportion to its length. Payloads that name no key don't go there.
     """
-    text = _canonical(payload)
-    names = [f'"{k}":' for k in dict.fromkeys(keys)]
-    opened, closed = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
-    none, still = F.array().cast("array<string>"), F.lit(0).cast("bigint")
-
-    def step(t: Column) -> Column:
-        return F.when(t.isin("[", "{"), opened).when(t.isin("]", "}"), closed).otherwise(still)
-
-    def placed(t: Column, depth: Column) -> Column:
-        """Strings and brackets with their depth, sorted by it."""
-        def item(x: Column, i: Column) -> Column:
-            d = step(x)
-            return F.struct(
-                (F.get(depth, i) + F.greatest(d, still)).alias("depth"), i.alias("i"), d.alias("step"),
-                ((i > 0) & (d >= 0) & F.get(t, i - 1).isin(*names)).alias("hit"), x.alias("x"),
-            )
-
-        return F.sort_array(F.filter(F.transform(t, item), lambda e: ~e["x"].endswith('":')))
-
-    def containers(e: Column) -> Column:
-        """Each with its places in the text and in ``e``."""
-        spots = F.transform(e, lambda x, p: F.struct(p.alias("p"), x["i"].alias("i"), x["step"].alias("step"), x["hit"].alias("hit"), x["x"].alias("x")))
-
-        def paired(b: Column) -> Column:
-            both = F.transform(b, lambda x, m: F.struct(x.alias("o"), F.get(b, m + 1).alias("c")))
-            return F.filter(both, lambda z: z["o"]["step"] > 0)
-
-        return let(F.filter(spots, lambda x: x["step"] != 0), paired)
-
-    def event(i: Column, turn: int, step: Column, hit: Column, value: Column) -> Column:
-        return F.struct(i.alias("i"), F.lit(turn).alias("turn"), step.alias("step"), hit.alias("hit"), value.alias("value"))
-
-    def line(e: Column, z: Column) -> Column:
-        inner = F.slice(e, z["o"]["p"] + 2, z["c"]["p"] - z["o"]["p"] - 1)
-        return F.concat(F.lit('"'), F.array_join(F.transform(inner, lambda s: F.substr(s["x"], F.lit(2), F.length(s["x"]) - 2)), " "), F.lit('"'))
-
-    def events(e: Column) -> Column:
-        def of(pairs: Column) -> Column:
-            hits = F.filter(pairs, lambda z: z["o"]["hit"])
-            no, null = F.lit(False), F.lit(None).cast("string")
-            marks = [
-                F.transform(hits, lambda z: event(z["o"]["i"], 1, opened, no, null)), F.transform(hits, lambda z: event(z["c"]["i"], 1, closed, no, null)),
-                F.transform(F.filter(e, lambda x: x["step"] == 0), lambda x: event(x["i"], 0, still, x["hit"], x["x"])),
-            ]
-            if joined:
-                arrays = F.filter(pairs, lambda z: (z["o"]["x"] == "[") & (z["c"]["p"] > z["o"]["p"] + 1))
-                marks.append(F.transform(arrays, lambda z: event(z["c"]["i"], 0, still, no, line(e, z))))
-            return F.sort_array(F.concat(*marks))
-
-        return let(containers(e), of)
-
-    def counted(v: Column) -> Column:
-        total = sums_before_of(F.transform(v, lambda x: x["step"]))
-        return let(total, lambda n: F.transform(
-            F.filter(F.transform(v, lambda x, j: F.struct(x["value"].alias("value"), (x["hit"] | (F.get(n, j) > 0)).alias("able"))),
-                     lambda x: x["able"] & x["value"].isNotNull()), lambda x: x["value"]))
-
-    tokens = F.regexp_extract_all(text, F.lit(rf"{JSON_TEXT}:?|[\[\]{{}}]"), F.lit(0))
-    found = let(tokens, lambda t: let(sums_before_of(F.transform(t, step)), lambda depth: let(placed(t, depth), lambda e: let(events(e), counted))))
-    parsed = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
-    return F.when(text.rlike("|".join(names)), F.coalesce(parsed, none)).otherwise(none)
+    wanted = [frozenset(g) for g in groups]
+
+    def strings_of(value, keys, joined: bool) -> list[str]:
+        """Strings under the keys in a parsed payload, in its order; with ``joined`` also an array's own strings as one line.
+
+        A walk with a stack of its own, so that depth is no limit. An item is the value and whether it counts, that is,
+        whether a listed key is right before it or above it.
+        """
+        out: list[str] = []
+        stack: list[tuple] = [(value, False)]
+        while stack:
+            x, counts = stack.pop()
+            if isinstance(x, str):
+                if counts:
+                    out.append(x)
+            elif isinstance(x, list):
+                own = [i for i in x if isinstance(i, str)] if joined and counts else None
+                if own:
+                    stack.append((" ".join(own), True))  # where the array ends
+                stack.extend((i, counts) for i in reversed(x))
+            elif isinstance(x, dict):
+                stack.extend((v, counts or k in keys) for k, v in reversed(x.items()))
+        return out
+
+    @F.arrow_udf("array<array<string>>")
+    def walked(texts: pa.Array) -> pa.Array:
+        rows = (None if t is None else json.loads(t) for t in texts.to_pylist())
+        return pa.array([None if v is None else [strings_of(v, k, joined) for k in wanted] for v in rows], pa.list_(pa.list_(pa.string())))
+
+    names = "|".join(f'"{re.escape(k)}":' for k in dict.fromkeys(k for g in groups for k in g))
+    return walked(let(_canonical(payload), lambda t: F.when(t.rlike(names), t)))
 
 
 def extract(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``commands``, ``paths`` and ``access`` to events; bad JSON gives none."""
     parsed = events.select("*", F.try_parse_json(F.col(payload)).alias("__v"))
-    commands = F.array_sort(F.array_distinct(_strings(F.col("__v"), (*COMMAND_KEYS, *GENERIC_KEYS))))
-    globs = F.filter(_strings(F.col("__v"), GLOB_KEYS), is_dotenv_path)  # a search that selects dotenv files reads them
-    paths = F.array_sort(F.array_distinct(F.concat(_strings(F.col("__v"), PATH_KEYS), globs)))
+    parsed = parsed.withColumn("__s", _strings(F.col("__v"), (*COMMAND_KEYS, *GENERIC_KEYS), GLOB_KEYS, PATH_KEYS))
+    under = lambda k: F.coalesce(F.get("__s", F.lit(k)), F.array().cast("array<string>"))
+    commands = F.array_sort(F.array_distinct(under(0)))
+    globs = F.filter(under(1), is_dotenv_path)  # a search that selects dotenv files reads them
+    paths = F.array_sort(F.array_distinct(F.concat(under(2), globs)))
     write = F.lower(F.col(payload)).rlike("|".join(WRITE_WORDS))
     return parsed.select(
         *events.columns, commands.alias("commands"), paths.alias("paths"),
@@ -203,7 +170,8 @@ def extract(events: DataFrame, payload: str = "payload") -> DataFrame:
 
 def payload_text(payload: Column, keys=TEXT_KEYS, separator: str = "\n") -> Column:
     """Scannable strings of a payload, joined."""
-    return F.array_join(F.array_distinct(_strings(F.try_parse_json(payload), keys, joined=False)), separator)
+    found = F.get(_strings(F.try_parse_json(payload), keys, joined=False), F.lit(0))
+    return F.coalesce(F.array_join(F.array_distinct(found), separator), F.lit(""))
 
 
 # -- shell text -----------------------------------------------------------------------------
