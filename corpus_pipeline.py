@@ -7,8 +7,8 @@ the texts are encoded.
 
 Each stage takes nulls in any column, empty and very long texts, ties and repeated rows as its operator's docstring says;
 of empty documents each stage makes an empty table of the same columns. Columns of ``docs`` may have any name: a stage
-carries its row as one struct. Arrow batches are kept small for the session, as whole rows of long texts pass through
-Python in three stages.
+carries its row as one struct. Each stage keeps batches small for the session, also when it is called by itself, as
+long texts pass through Python in three stages.
 """
 
 from __future__ import annotations
@@ -24,22 +24,27 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -55,7 +60,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result but the last is written to the shared folder and read again."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, "stage-" + name.replace(" ", "-"))

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import HELD, slices, texts
 from .tokens import Encoder, Numbers, byte_table
 
 LEAF = 1 << 15
 WINDOW = 32
+CACHED = 250_000
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -42,7 +43,7 @@ class Part:
 
 class Tree:
     def __init__(self, path: str):
-        self.encoder = Encoder(path, "space")
+        self.encoder = Encoder(path, "space", CACHED)
         self.table = byte_table(self.encoder.library)
         self.numbers = Numbers(len(self.table))
         self.lengths = np.array([len(b) for b in self.table], np.int64)
@@ -97,6 +98,12 @@ def tree_of(path: str) -> Tree:
     return Tree(path)
 
 
+def held(path: str) -> Tree:
+    """The same in a task, until a task of another operator begins in this worker."""
+    HELD["bpe"] = tree_of.cache_clear
+    return tree_of(path)
+
+
 def inside(raw: bytes, at: int) -> bool:
     """Whether a cut before byte ``at`` splits a character."""
     return at < len(raw) and raw[at] & 0xC0 == 0x80
@@ -115,21 +122,21 @@ def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def short(batches):
-        tree = tree_of(path)
-        for batch in slices(batches):
+        tree = held(path)
+        for batch in slices(batches, owner="bpe"):
             got = [tree.digests(tree.part(t).ids) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | columns(got))
 
     def leaves(batches):
-        tree = tree_of(path)
-        for batch in slices(batches):
+        tree = held(path)
+        for batch in slices(batches, owner="bpe"):
             ids = [tree.encoder.encode(t).tobytes() for t in batch["piece"].to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {name: batch[name] for name in ("doc_id", "row", "leaf", "piece")} | {"ids": pa.array(ids, pa.binary())}
             )
 
     def together(key, table):
-        tree = tree_of(path)
+        tree = held(path)
         table = table.sort_by("leaf")
         parts = [
             tree.part(t, np.frombuffer(i, tree.encoder.type))
@@ -153,8 +160,8 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tree = tree_of(path)
-        for batch in slices(batches):
+        tree = held(path)
+        for batch in slices(batches, owner="bpe"):
             ids = [tree.encode(t).tolist() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.list_(pa.int32()))})
 

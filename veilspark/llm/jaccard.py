@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, joinable, kept, packed, released, slices, texts
+from .common import ROW, joinable, kept, released, slices, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -525,7 +525,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class, that of the least doc_id, whole and with its own columns."""
-    rows = numbered(packed(docs))
-    found = classes(rows.select("uid", "doc_id", "text"))
+    rows = numbered(docs.select(F.struct("*").alias(ROW)))
+    found = classes(rows.select("uid", F.col(ROW)["doc_id"].alias("doc_id"), F.coalesce(F.col(ROW)["text"], F.lit("")).alias("text")))
     drop = kept(found.where("uid != keeper").select("uid"), "jaccard-drop")
     return rows.join(joinable(drop), "uid", "left_anti").select(f"{ROW}.*")

@@ -47,13 +47,13 @@ LETTERS = byte_letters()
 class Cache(dict):
     """Fills itself. When it is full it keeps what came first, mostly the frequent keys, until many more were missed."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHED):
         super().__init__()
-        self.make, self.missed = make, 0
+        self.make, self.most, self.missed = make, most, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(self) < CACHED:
+        if len(self) < self.most:
             self[key] = value
         else:
             self.missed += 1
@@ -66,7 +66,7 @@ class Cache(dict):
 class Encoder:
     """Encodes text to ids of the smallest unsigned type; one for each task."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, cached: int = CACHED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -81,7 +81,7 @@ class Encoder:
         assert sys.byteorder == "little" and array(self.code).itemsize == self.type.itemsize
         self.cut, self.lower = cut, cut == "white"
         self.model, self.before, self.normal = self.library.model, self.library.pre_tokenizer, self.library.normalizer
-        self.pieces, self.words = Cache(self.piece), Cache(self.word)
+        self.pieces, self.words = Cache(self.piece, cached), Cache(self.word, cached)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.heads = re.compile("|".join(re.escape(t[:2]) for t in added) or r"(?!)")
         self.longest_added = max((len(t.encode()) for t in added), default=0)
@@ -102,6 +102,8 @@ class Encoder:
                 words = ["".join([LETTERS[b] for b in w.encode()]) for w in words]
         else:
             words = [w for w, _ in self.before.pre_tokenize_str(self.normal.normalize_str(piece) if self.normal else piece)]
+        if len(words) == 1 and len(self.pieces) < self.pieces.most:  # one of the caches has it
+            return self.words.get(words[0]) or self.word(words[0])
         return b"".join(map(self.words.__getitem__, words))
 
     def cuts(self, text: str) -> list[str] | None:
