@@ -102,7 +102,7 @@ class Encoder:
                 words = ["".join([LETTERS[b] for b in w.encode()]) for w in words]
         else:
             words = [w for w, _ in self.before.pre_tokenize_str(self.normal.normalize_str(piece) if self.normal else piece)]
-        if len(words) == 1 and len(self.pieces) < self.pieces.most:  # one of the caches has it
+        if self.cut == "space" and len(words) == 1 and len(self.pieces) < self.pieces.most:  # one of the caches has it
             return self.words.get(words[0]) or self.word(words[0])
         return b"".join(map(self.words.__getitem__, words))
 
